@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_quality", "q_media", "q_bpe"]
+MODULES = ["q_quality", "q_media", "q_bpe", "q_mixing"]
 
 
 def _modules():

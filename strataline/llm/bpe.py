@@ -7,8 +7,8 @@ so is the sequence that the merges give for the whole, so one run at most surviv
 its runs are told apart after no more bytes than the longest token has.
 
 `Transducer` determinises it while it reads: a deterministic state holds the runs still possible,
-without the tokens that all of them begin with; these have been emitted. States and steps
-are kept in a table of bounded size, which starts anew when full.
+without the tokens that all of them begin with; these have been emitted. A step is built when it is
+met for the second time. States and steps are kept in a table of bounded size, which starts anew when full.
 
 Cases: null text is empty text and gives no token; texts and words of any length take time in
 proportion; repeated rows and clashing column names are left as they are (columns are added or
@@ -45,10 +45,14 @@ class _State:
         self.last, self.runs, self.steps = last, runs, None
 
 
+#: Stands for a step met once and not yet built.
+_MET = ((), ())
+
+
 class Transducer:
     """Encodes one piece of text (a match of the split pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pairs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 400_000, short: int = 48):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.below: list[dict[int, int]] = [{}]
@@ -63,7 +67,7 @@ class Transducer:
                     self.token_at.append(-1)
                 node = then
             self.token_at[node] = rank
-        self.max_states, self.max_pairs = max_states, max_pairs
+        self.max_states, self.max_pairs, self.short = max_states, max_pairs, short
         self._pairs: dict[int, bool] = {}
         self._reset()
 
@@ -126,19 +130,51 @@ class Transducer:
             if len(self._states) >= self.max_states:
                 self._reset()
             found = self._states[key] = _State(*key)
-        if state.steps is None:
-            state.steps = {}
         then = state.steps[byte] = (found, emitted)
         return then
 
+    def _run_on(self, state: _State, rest: bytes) -> tuple[int, ...]:
+        """The tokens from a state to the end of a short rest, without building states."""
+        below, token_at, pairs, last = self.below, self.token_at, self._pairs, state.last
+        runs = state.runs
+        for byte in rest:
+            then, ended = [], None
+            for pending, node in runs:
+                node = below[node].get(byte)
+                if node is None:
+                    continue
+                token = token_at[node]
+                if token >= 0 and ended is None:
+                    u = pending[-1] if pending else last
+                    fits = pairs.get(u << 32 | token)
+                    if self._may_follow(u, token) if fits is None else fits:
+                        ended = (*pending, token)
+                if below[node]:
+                    then.append((pending, node))
+            if ended is not None:
+                then.append((ended, 0))
+            runs = then
+        if not runs or runs[-1][1]:
+            raise ValueError("a byte of the text is in no token")
+        return runs[-1][0]
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out = self._start, []
-        for byte in piece:
+        state, out, short = self._start, [], len(piece) <= self.short
+        for k, byte in enumerate(piece):
             steps = state.steps
-            step = steps and steps.get(byte) or self._step(state, byte)
+            if steps is None:
+                steps = state.steps = {}
+            step = steps.get(byte)
+            if step is None:
+                if short:  # a step is built when it is met again: most are not
+                    steps[byte] = _MET
+                    return (*out, *self._run_on(state, piece[k:]))
+                step = self._step(state, byte)
+            elif step is _MET:
+                step = self._step(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
@@ -149,24 +185,35 @@ class Transducer:
 
 
 class Encoder:
-    """Splits text by the pattern and encodes every piece; keeps a bounded table of pieces met before."""
+    """Splits text by the pattern and encodes every piece; keeps tables of pieces met before, of bounded size.
+
+    When the newer table is full it becomes the older one; what is met there again moves up.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.max_pieces = max_pieces
-        self._seen: dict[str, tuple[int, ...]] = {}
+        self._new: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
+
+    def _met(self, piece: str) -> tuple[int, ...]:
+        ids = self._old.get(piece)
+        if ids is None:
+            ids = self.transducer.encode_piece(piece.encode())
+        if len(piece) <= 64:
+            if len(self._new) >= self.max_pieces:
+                self._old, self._new = self._new, {}
+            self._new[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        seen, out = self._seen, []
+        new, out = self._new, []
         for piece in self.split(text):
-            ids = seen.get(piece)
+            ids = new.get(piece)
             if ids is None:
-                ids = self.transducer.encode_piece(piece.encode())
-                if len(piece) <= 64:
-                    if len(seen) >= self.max_pieces:
-                        seen.clear()
-                    seen[piece] = ids
+                ids = self._met(piece)
+                new = self._new
             out += ids
         return out
 
@@ -257,6 +304,24 @@ class Decoder:
             yield "�"
 
 
+_TABLES: dict = {}
+
+
+def _kept(kind: type, ranks: bytes, *more: str):
+    """A worker's encoder or decoder, kept for its next task with what its tables have learnt."""
+    key = (kind, hash(ranks), len(ranks), *more)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = kind(parse_ranks(ranks), *more)
+    return _TABLES[key]
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that the ids of few texts are held as Python numbers at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "token_ids", keep_text: bool = False) -> DataFrame:
     """docs with the token ids (array<int>) of the whole text instead of the text; the other columns stay.
 
@@ -267,7 +332,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "t
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(parse_ranks(shared.value), pattern)
+        encoder = _kept(Encoder, shared.value, pattern)
         gc.disable()  # the tables are large and rarely hold cycles; a full table collects
         try:
             yield from encoded(encoder, batches)
@@ -275,7 +340,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "t
             gc.enable()
 
     def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             rows = [encoder.encode(x) for x in strings(batch.column(text))]
             column = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int32), pa.array(np.concatenate([np.asarray(x, np.int32) for x in rows]) if rows else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), column], names=[f.name for f in schema.fields])
@@ -290,8 +355,8 @@ def decode_documents(encoded: DataFrame, ranks: bytes, ids: str = "token_ids", o
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType(), False), T.StructField("well_formed", T.BooleanType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(parse_ranks(shared.value))
-        for batch in batches:
+        decoder = _kept(Decoder, shared.value)
+        for batch in (part for whole in batches for part in _slices(whole)):
             lists = batch.column(ids)
             values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

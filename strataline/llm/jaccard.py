@@ -6,12 +6,14 @@ frequent, ties by hash; it is cut into fragments, and a set is cut with it.
 1. Classes. Documents with equal sets are one class (a 128-bit digest); a class is handled once.
 2. Candidates. In the order, the first n - ceil(t n) + 1 n-grams of a set (its head) meet those of every set that
    reaches similarity t. Heads are posted by n-gram. A posting links its members to its centre, the member with
-   the fewest rare n-grams; so a group of copies gives a star, not all its pairs.
+   the fewest rare n-grams, and a member goes with the centre it meets most often; so a group of copies gives a
+   star, not all its pairs.
 3. Verification. For each candidate pair, every fragment counts its own part of the overlap; the
    parts are summed per pair and compared with t exactly.
 4. Components of the links found. A posting whose members lie in several components gives its pairs across
-   components (of lengths that can reach t), which are verified likewise: pairs inside a component can't
-   change the result, so no link between different components is lost, and no group is expanded into all pairs.
+   components, if their lengths and what their heads share can reach t; they are verified likewise. Pairs inside a
+   component can't change the result, so no link between different components is lost, and no group is expanded into
+   all pairs.
 
 N-grams count as frequent by what tasks repeat locally; the order is exact for any such estimate, which only
 decides how short postings are. Hashes of different n-grams of one pair collide with a probability below 1e-12.
@@ -314,6 +316,17 @@ def _lengths_fit(join: Join):
     return 100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")
 
 
+def _can_reach(join: Join):
+    """Whether a pair whose heads share `met` n-grams can reach the similarity.
+
+    Up to the end of the head that ends first in the order, what is common stands in both heads; beyond it that set has
+    no more than its size less its head. This is the first fragment's count, which spares most pairs the others.
+    """
+    size = F.greatest("n", "m")
+    least = F.ceil(join.percent * (F.col("n") + F.col("m")) / (100 + join.percent) - 1e-9)
+    return F.col("met") >= least - (F.ceil(join.percent * size / 100 - 1e-9) - 1)
+
+
 def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
     """docs (doc_id, text) as: rows (doc_id, n_shingles, d1, d2) for every document; classes with their
     representative (smallest doc_id) and component; links between representatives that span all components."""
@@ -324,11 +337,12 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     same = "partition by gram, lane order by rare, d1 rows between unbounded preceding and unbounded following"
     star = posts.select("gram", "lane", "d1", "n", F.expr(f"first(d1) over ({same})").alias("centre"), F.expr(f"first(n) over ({same})").alias("m")).where("d1 <> centre or lane >= 0")
     members = written(star.distinct(), "postings")
-    # the centres of a frequent n-gram's lanes make a star of their own
-    lanes = members.where("lane >= 0").groupBy("gram").agg(F.min_by(F.struct("centre", "m"), F.struct("lane", "centre")).alias("hub"), F.collect_set(F.struct("centre", "m")).alias("centres")).where(F.size("centres") > 1)
-    hubs = lanes.select(F.col("hub.centre").alias("centre"), F.col("hub.m").alias("m"), F.explode("centres").alias("c")).select(F.col("c.centre").alias("d1"), F.col("c.m").alias("n"), "centre", "m")
-    pairs = members.select("d1", "n", "centre", "m").union(hubs).where("d1 <> centre").where(_lengths_fit(join))
-    ordered = pairs.select(F.least("d1", "centre").alias("a"), F.greatest("d1", "centre").alias("b")).distinct()
+    # a document goes with the centre that it meets most often; centres of a frequent n-gram's lanes make a star of their own
+    met = members.where("d1 <> centre").where(_lengths_fit(join)).groupBy("d1", "centre").count()
+    nearest = met.groupBy("d1").agg(F.max(F.struct("count", "centre")).alias("best")).select("d1", F.col("best.centre").alias("centre"))
+    lanes = members.where("lane >= 0").groupBy("gram").agg(F.min_by("centre", F.struct("lane", "centre")).alias("hub"), F.collect_set("centre").alias("centres")).where(F.size("centres") > 1)
+    hubs = lanes.select(F.explode("centres").alias("d1"), F.col("hub").alias("centre")).where("d1 <> centre")
+    ordered = nearest.union(hubs).select(F.least("d1", "centre").alias("a"), F.greatest("d1", "centre").alias("b")).distinct()
     links = written(_verified(ordered, docs, classes, join, order), "links")
     found = components(links)
     # postings across components, and their pairs
@@ -338,7 +352,8 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
     across = placed.join(mixed, "gram", "left_semi")
     other = across.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"))
-    rest = across.join(other, "gram").where("d1 < e and component <> far").where(_lengths_fit(join)).select(F.col("d1").alias("a"), F.col("e").alias("b")).distinct()
+    shared = across.join(other, "gram").where("d1 < e and component <> far").where(_lengths_fit(join))
+    rest = shared.groupBy(F.col("d1").alias("a"), F.col("e").alias("b"), "n", "m").agg(F.count("*").alias("met")).where(_can_reach(join)).select("a", "b")
     rest = written(rest.join(ordered, ["a", "b"], "left_anti"), "across")
     if rest.limit(1).count():
         links = written(links.union(_verified(rest, docs, classes, join, order)).distinct(), "links")

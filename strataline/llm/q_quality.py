@@ -11,7 +11,7 @@ from . import common, quality
 def verdicts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Measures by document, base_failed and kept; texts are read once, the measures are written in between."""
     measures = common.written(quality.measured(docs, keep=keep), "quality")
-    judged, _ = quality.judged(measures)
+    judged = quality.judged(measures, quality.fitted(measures))
     return judged.withColumn("base_failed", quality.base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("quality_kept"))
 
 

@@ -177,23 +177,31 @@ def decode(codes: np.ndarray, n: int) -> np.ndarray:
     return np.stack([codes // 3 ** (n - 1 - k) % 3 - 1 for k in range(n)], axis=1).reshape(-1, n)
 
 
-def judged(measures: DataFrame, rules: list[Rule] | None = None, threshold: float = 0.5) -> tuple[DataFrame, LabelModel]:
-    """measures with quality (posterior probability), and kept by it; and the fitted model.
+@dataclass(frozen=True)
+class Fitted:
+    """A label model with the rules it was fitted for and the quality of every vote pattern seen."""
 
-    measures is read twice: give a table. Patterns go to the driver and back: 3 ** rules rows at most.
-    """
+    rules: list[Rule]
+    model: LabelModel
+    codes: np.ndarray
+    posterior: np.ndarray
+
+
+def fitted(measures: DataFrame, rules: list[Rule] | None = None) -> Fitted:
+    """The label model of all documents; patterns go to the driver, 3 ** rules rows at most."""
     rules = rules or default_rules()
-    names = tuple(r.name for r in rules)
-    voted = measures.select("*", *(r.vote() for r in rules)).withColumn("_votes", code_of(rules)).drop(*names)
-    seen = voted.groupBy("_votes").count().collect()
+    seen = measures.select(*(r.vote() for r in rules)).select(code_of(rules).alias("votes")).groupBy("votes").count().collect()
     codes = np.array([r[0] for r in seen], np.int64)
     votes = decode(codes, len(rules))
-    model = fit(votes, np.array([r[1] for r in seen], float), names)
-    p = model.posterior(votes)
-    spark = measures.sparkSession
-    facts = spark.createDataFrame([(int(c), float(x)) for c, x in zip(codes, p, strict=True)], "_votes int, quality double")
-    out = voted.join(F.broadcast(facts), "_votes", "left").drop("_votes")
-    return out.withColumn("quality_kept", F.col("quality") >= threshold), model
+    model = fit(votes, np.array([r[1] for r in seen], float), tuple(r.name for r in rules))
+    return Fitted(rules, model, codes, model.posterior(votes))
+
+
+def judged(measures: DataFrame, fit_: Fitted, threshold: float = 0.5) -> DataFrame:
+    """measures with quality (posterior probability) and quality_kept."""
+    voted = measures.select("*", *(r.vote() for r in fit_.rules)).withColumn("_votes", code_of(fit_.rules)).drop(*(r.name for r in fit_.rules))
+    facts = measures.sparkSession.createDataFrame([(int(c), float(x)) for c, x in zip(fit_.codes, fit_.posterior, strict=True)], "_votes int, quality double")
+    return voted.join(F.broadcast(facts), "_votes", "left").drop("_votes").withColumn("quality_kept", F.col("quality") >= threshold)
 
 
 def base_failed() -> Column:

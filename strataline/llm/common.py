@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 import pyarrow as pa
@@ -28,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file:///tmp/checkpoints/strataline-{os.getpid()}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    own = f"/tmp/checkpoints/strataline-{os.getpid()}"
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

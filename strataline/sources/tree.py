@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ready
 from .ignore import walk
 
 #: Up to so many files are read in one partition.
@@ -90,6 +91,6 @@ class SourceTree(DataSource):
 
 def read_tree(spark: SparkSession, path: str, all_files: bool = False, threads: int | None = None) -> DataFrame:
     """(path, content) of a folder's or a file's text candidates."""
-    spark.dataSource.register(SourceTree)
+    ready(spark).dataSource.register(SourceTree)
     reader = spark.read.format("source_tree").option("all", str(all_files).lower())
     return (reader.option("threads", threads) if threads is not None else reader).load(path)

@@ -19,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Measures are taken twice, once to fit the model and once beside the text, which is cheaper than a copy of all texts.
     """
+    common.ready(spark)
     fit = quality.fitted(common.written(quality.measured(docs, keep=[]), "quality"))
     judged = quality.judged(quality.measured(docs), fit)
     return judged.where(~quality.base_failed() & F.col("quality_kept")).select(*docs.columns)
@@ -27,6 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that with the smallest doc_id; of rows that repeat a doc_id, one. Rows without
     doc_id can't be named by a link and stay."""
+    common.ready(spark)
     member = jaccard.membership(docs.select("doc_id", "text"))
     gone = member.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
@@ -39,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, of the patterns or the network, replaced by a mark; n_chars follows the text."""
+    common.ready(spark)
     found = common.written(secrets.findings(docs, ["doc_id"]), "findings")
     clean = secrets.redacted(docs, secrets.trained(secrets.sample(found)))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
@@ -46,11 +49,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a row a copy that the mix takes, in shards, shuffled within each."""
+    common.ready(spark)
     return mixing.mixed(docs, q_mixing.MIX).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, decoded again for the digest."""
+    common.ready(spark)
     ranks = q_bpe.rank_bytes()
     encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
     digested = encoded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), F.col("token_ids").alias("ids"), "token_ids")

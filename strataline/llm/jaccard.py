@@ -5,9 +5,9 @@ frequent, ties by hash; it is cut into fragments, and a set is cut with it.
 
 1. Classes. Documents with equal sets are one class (a 128-bit digest); a class is handled once.
 2. Candidates. In the order, the first n - ceil(t n) + 1 n-grams of a set (its head) meet those of every set that
-   reaches similarity t. Heads are posted by n-gram. A posting links its members to its centre, the member with
-   the fewest rare n-grams, and a member goes with the centre it meets most often; so a group of copies gives a
-   star, not all its pairs.
+   reaches similarity t. Heads are posted by n-gram. Head n-grams that no other set has bound what a set can have in
+   common with any; sets that can't reach a partner go. A posting has a centre, the member with the fewest rare
+   n-grams, and a member goes with the centre it meets most often; so a group of copies gives a star, not all its pairs.
 3. Verification. For each candidate pair, every fragment counts its own part of the overlap; the
    parts are summed per pair and compared with t exactly.
 4. Components of the links found. A posting whose members lie in several components gives its pairs across
@@ -312,11 +312,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _lengths_fit(join: Join):
-    return 100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")
+def _reach(join: Join):
+    """The largest partner that a set of n n-grams, of which `seen` head n-grams occur elsewhere, can have.
+
+    Head n-grams that occur in no other set are not common to any pair.
+    """
+    head = F.col("n") - F.ceil(join.percent * F.col("n") / 100 - 1e-9) + 1
+    common = F.col("n") - (head - F.col("seen"))
+    return F.floor((100 + join.percent) * common / join.percent - F.col("n") + 1e-9)
+
+
+def _can_pair(join: Join):
+    """Whether sizes n and m, and what each set can reach, allow the similarity."""
+    return (100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("far_reach"))
 
 
-def _can_reach(join: Join):
+def _can_link(join: Join):
     """Whether a pair whose heads share `met` n-grams can reach the similarity.
 
     Up to the end of the head that ends first in the order, what is common stands in both heads; beyond it that set has
@@ -327,33 +338,41 @@ def _can_reach(join: Join):
     return F.col("met") >= least - (F.ceil(join.percent * size / 100 - 1e-9) - 1)
 
 
+def _postings(docs: DataFrame, join: Join, order: Order) -> DataFrame:
+    """(gram, d1, n, rare, reach): heads' n-grams that several sets have, of sets that can reach some partner."""
+    same = "partition by gram, lane order by rare, d1 rows between unbounded preceding and unbounded following"
+    first = [F.expr(f"first({c}) over ({same})").alias(f"first_{c}") for c in ("d1", "n", "rare")]
+    met = _heads(docs, join, order).select("gram", "lane", "d1", "n", "rare", *first).where("d1 <> first_d1 or lane >= 0")
+    met = written(met.select("gram", "d1", "n", "rare", "first_d1", "first_n", "first_rare").distinct(), "met")
+    flat = written(met.select("gram", "d1", "n", "rare").union(met.select("gram", "first_d1", "first_n", "first_rare")).distinct(), "postings")
+    sets = flat.groupBy("d1", "n").agg(F.count("*").alias("seen")).select("d1", _reach(join).alias("reach"), "n").where(100 * F.col("reach") >= join.percent * F.col("n"))
+    return written(flat.join(sets.drop("n"), "d1"), "reaching")
+
+
 def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
     """docs (doc_id, text) as: rows (doc_id, n_shingles, d1, d2) for every document; classes with their
     representative (smallest doc_id) and component; links between representatives that span all components."""
     rows = written(_sets(docs, join), "sets")
     classes = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     order = _order(docs, join)
-    posts = _heads(docs, join, order)
-    same = "partition by gram, lane order by rare, d1 rows between unbounded preceding and unbounded following"
-    star = posts.select("gram", "lane", "d1", "n", F.expr(f"first(d1) over ({same})").alias("centre"), F.expr(f"first(n) over ({same})").alias("m")).where("d1 <> centre or lane >= 0")
-    members = written(star.distinct(), "postings")
-    # a document goes with the centre that it meets most often; centres of a frequent n-gram's lanes make a star of their own
-    met = members.where("d1 <> centre").where(_lengths_fit(join)).groupBy("d1", "centre").count()
-    nearest = met.groupBy("d1").agg(F.max(F.struct("count", "centre")).alias("best")).select("d1", F.col("best.centre").alias("centre"))
-    lanes = members.where("lane >= 0").groupBy("gram").agg(F.min_by("centre", F.struct("lane", "centre")).alias("hub"), F.collect_set("centre").alias("centres")).where(F.size("centres") > 1)
-    hubs = lanes.select(F.explode("centres").alias("d1"), F.col("hub").alias("centre")).where("d1 <> centre")
-    ordered = nearest.union(hubs).select(F.least("d1", "centre").alias("a"), F.greatest("d1", "centre").alias("b")).distinct()
+    posted = _postings(docs, join, order)
+    # a document goes with the centre that it meets most often
+    centre = F.min_by(F.struct(F.col("d1").alias("centre"), F.col("n").alias("m"), F.col("reach").alias("far_reach")), F.struct("rare", "d1"))
+    centres = posted.groupBy("gram").agg(F.count("*").alias("k"), centre.alias("c")).where("k > 1").select("gram", "c.*")
+    star = salted_lookup(posted, centres, "gram", 4, F.col("d1")).where("d1 <> centre").where(_can_pair(join))
+    met = star.groupBy("d1", "centre", "n", "m").agg(F.count("*").alias("met"))
+    nearest = met.groupBy("d1").agg(F.max(F.struct("met", "centre")).alias("best"))
+    ordered = written(nearest.select(F.least("d1", "best.centre").alias("a"), F.greatest("d1", "best.centre").alias("b")).distinct(), "stars")
     links = written(_verified(ordered, docs, classes, join, order), "links")
     found = components(links)
     # postings across components, and their pairs
     nodes = classes.where("rep is not null").join(found, classes["rep"] == found["node"], "left").select("d1", F.coalesce("component", "rep").alias("component"))
-    flat = members.select("gram", "d1", "n").union(members.select("gram", F.col("centre").alias("d1"), F.col("m").alias("n"))).distinct()
-    placed = written(flat.join(nodes, "d1"), "placed")
+    placed = written(posted.drop("rare").join(nodes, "d1"), "placed")
     mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
     across = placed.join(mixed, "gram", "left_semi")
-    other = across.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"))
-    shared = across.join(other, "gram").where("d1 < e and component <> far").where(_lengths_fit(join))
-    rest = shared.groupBy(F.col("d1").alias("a"), F.col("e").alias("b"), "n", "m").agg(F.count("*").alias("met")).where(_can_reach(join)).select("a", "b")
+    other = across.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("reach").alias("far_reach"))
+    shared = across.join(other, "gram").where("d1 < e and component <> far").where(_can_pair(join))
+    rest = shared.groupBy(F.col("d1").alias("a"), F.col("e").alias("b"), "n", "m").agg(F.count("*").alias("met")).where(_can_link(join)).select("a", "b")
     rest = written(rest.join(ordered, ["a", "b"], "left_anti"), "across")
     if rest.limit(1).count():
         links = written(links.union(_verified(rest, docs, classes, join, order)).distinct(), "links")

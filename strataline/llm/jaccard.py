@@ -7,11 +7,13 @@ frequent, ties by hash; it is cut into fragments, and a set is cut with it.
 2. Candidates. In the order, the first n - ceil(t n) + 1 n-grams of a set (its head) meet those of every set that
    reaches similarity t. Heads are posted by n-gram. Head n-grams that no other set has bound what a set can have in
    common with any; sets that can't reach a partner go. A posting has a centre, the member with the fewest rare
-   n-grams, and a member goes with the centre it meets most often; so a group of copies gives a star, not all its pairs.
+   n-grams; a member goes with the centre it meets most often and with that of fewest rare n-grams, so a group of copies
+   gives stars, not all its pairs.
 3. Verification. For each candidate pair, every fragment counts its own part of the overlap; the
    parts are summed per pair and compared with t exactly.
 4. Components of the links found. A posting whose members lie in several components gives its pairs across
-   components, if their lengths and what their heads share can reach t; they are verified likewise. Pairs inside a
+   components, if their lengths can reach t; a pair must share many n-grams of its heads, so it is looked for in each
+   set's shortest postings only. They are verified likewise. Pairs inside a
    component can't change the result, so no link between different components is lost, and no group is expanded into
    all pairs.
 
@@ -327,15 +329,14 @@ def _can_pair(join: Join):
     return (100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("far_reach"))
 
 
-def _can_link(join: Join):
-    """Whether a pair whose heads share `met` n-grams can reach the similarity.
+def _needed(join: Join):
+    """How many head n-grams a pair must share to reach the similarity.
 
     Up to the end of the head that ends first in the order, what is common stands in both heads; beyond it that set has
-    no more than its size less its head. This is the first fragment's count, which spares most pairs the others.
+    no more than its size less its head.
     """
-    size = F.greatest("n", "m")
     least = F.ceil(join.percent * (F.col("n") + F.col("m")) / (100 + join.percent) - 1e-9)
-    return F.col("met") >= least - (F.ceil(join.percent * size / 100 - 1e-9) - 1)
+    return F.greatest(least - (F.ceil(join.percent * F.greatest("n", "m") / 100 - 1e-9) - 1), F.lit(1))
 
 
 def _postings(docs: DataFrame, join: Join, order: Order) -> DataFrame:
@@ -356,23 +357,26 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     classes = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     order = _order(docs, join)
     posted = _postings(docs, join, order)
-    # a document goes with the centre that it meets most often
-    centre = F.min_by(F.struct(F.col("d1").alias("centre"), F.col("n").alias("m"), F.col("reach").alias("far_reach")), F.struct("rare", "d1"))
+    # a document goes with the centre that it meets most often, and with that of fewest rare n-grams, a group's origin
+    centre = F.min_by(F.struct(F.col("d1").alias("centre"), F.col("n").alias("m"), F.col("reach").alias("far_reach"), F.col("rare").alias("rarest")), F.struct("rare", "d1"))
     centres = posted.groupBy("gram").agg(F.count("*").alias("k"), centre.alias("c")).where("k > 1").select("gram", "c.*")
     star = salted_lookup(posted, centres, "gram", 4, F.col("d1")).where("d1 <> centre").where(_can_pair(join))
-    met = star.groupBy("d1", "centre", "n", "m").agg(F.count("*").alias("met"))
-    nearest = met.groupBy("d1").agg(F.max(F.struct("met", "centre")).alias("best"))
-    ordered = written(nearest.select(F.least("d1", "best.centre").alias("a"), F.greatest("d1", "best.centre").alias("b")).distinct(), "stars")
+    met = star.groupBy("d1", "centre", "rarest").agg(F.count("*").alias("met"))
+    nearest = met.groupBy("d1").agg(F.max_by("centre", F.struct("met", "centre")).alias("one"), F.min_by("centre", F.struct(F.col("rarest"), -F.col("met"), F.col("centre"))).alias("two"))
+    pairs = nearest.select("d1", F.explode(F.array_distinct(F.array("one", "two"))).alias("centre"))
+    ordered = written(pairs.select(F.least("d1", "centre").alias("a"), F.greatest("d1", "centre").alias("b")).distinct(), "stars")
     links = written(_verified(ordered, docs, classes, join, order), "links")
     found = components(links)
     # postings across components, and their pairs
     nodes = classes.where("rep is not null").join(found, classes["rep"] == found["node"], "left").select("d1", F.coalesce("component", "rep").alias("component"))
     placed = written(posted.drop("rare").join(nodes, "d1"), "placed")
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    across = placed.join(mixed, "gram", "left_semi")
-    other = across.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("reach").alias("far_reach"))
-    shared = across.join(other, "gram").where("d1 < e and component <> far").where(_can_pair(join))
-    rest = shared.groupBy(F.col("d1").alias("a"), F.col("e").alias("b"), "n", "m").agg(F.count("*").alias("met")).where(_can_link(join)).select("a", "b")
+    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low <> high").select("gram", "k")
+    # of a set's n-grams there, short postings first, all but the last `needed` - 1 find every partner that shares so many
+    own = "partition by d1"
+    ranked = written(placed.join(mixed, "gram").withColumns({"at": F.expr(f"row_number() over ({own} order by k, gram)"), "of": F.expr(f"count(*) over ({own})")}).drop("k"), "ranked")
+    other = ranked.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("reach").alias("far_reach"), F.col("at").alias("far_at"), F.col("of").alias("far_of"))
+    short = (F.col("at") <= F.col("of") - _needed(join) + 1) & (F.col("far_at") <= F.col("far_of") - _needed(join) + 1)
+    rest = ranked.join(other, "gram").where("d1 < e and component <> far").where(_can_pair(join) & short).select(F.col("d1").alias("a"), F.col("e").alias("b")).distinct()
     rest = written(rest.join(ordered, ["a", "b"], "left_anti"), "across")
     if rest.limit(1).count():
         links = written(links.union(_verified(rest, docs, classes, join, order)).distinct(), "links")

@@ -72,7 +72,7 @@ def _block(ids: list, texts: list[bytes], settings: Settings) -> tuple:
 
 
 def blocks(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:  # noqa: B008
-    """Coded blocks of documents. A block's key is a digest of all it holds; equal blocks share it and what is looked up by it."""
+    """Coded blocks of documents. A block's key is a 64-bit digest of all it holds; equal blocks share it and what is looked up by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -81,9 +81,9 @@ def blocks(docs: DataFrame, settings: Settings = Settings(), text: str = "text")
 
         def flush() -> pa.RecordBatch:
             i, held, lengths, codes, words, counts = _block(ids, texts, settings)
-            key = xxhash.xxh3_128_hexdigest(repr(ids).encode() + codes.tobytes() + END.join(words))
+            key = xxhash.xxh3_64_intdigest(repr(ids).encode() + codes.tobytes() + END.join(words)) - (1 << 63)
             vocabulary = pa.array([[{"word": w, "count": int(c)} for w, c in zip(words, counts, strict=True)]], pa.list_(pa.struct([pa.field("word", pa.binary(), False), pa.field("count", pa.int64(), False)])))
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([i], pa.list_(pa.int64())), pa.array([held.tolist()]), pa.array([lengths.tolist()]), pa.array([codes.tobytes()], pa.binary()), vocabulary], names=["block", "ids", "held", "lengths", "codes", "vocabulary"])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([i], pa.list_(pa.int64())), pa.array([held.tolist()]), pa.array([lengths.tolist()]), pa.array([codes.tobytes()], pa.binary()), vocabulary], names=["block", "ids", "held", "lengths", "codes", "vocabulary"])
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8(batch.column(text)), strict=True):
@@ -96,7 +96,7 @@ def blocks(docs: DataFrame, settings: Settings = Settings(), text: str = "text")
         if ids:
             yield flush()
 
-    return docs.select("doc_id", text).mapInArrow(run, "block string, ids array<long>, held array<boolean>, lengths array<long>, codes binary, vocabulary array<struct<word:binary,count:long>>")
+    return docs.select("doc_id", text).mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, codes binary, vocabulary array<struct<word:binary,count:long>>")
 
 
 def counts(coded: DataFrame) -> DataFrame:
@@ -105,14 +105,16 @@ def counts(coded: DataFrame) -> DataFrame:
 
 
 def facts(coded: DataFrame, counted: DataFrame, places: DataFrame) -> DataFrame:
-    """Blocks with, by local code, the global count and the place on the shortlist (-1: off it).
+    """Blocks with, by local code, the global count and the class (0: off the shortlist, else the place on it from 1).
 
-    Words meet their counts by shuffling each block's vocabulary, once a word and block, not once a token.
+    Words meet their counts by shuffling each block's vocabulary, once a word and block, not once a token. Code and class
+    travel as one number.
     """
     local = coded.select("block", F.posexplode("vocabulary").alias("code", "v")).select("block", "code", F.col("v.word").alias("word"))
     known = counted.join(F.broadcast(places), "word", "left")
-    met = local.join(known, "word", "left").select("block", F.struct("code", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("place", F.lit(-1)).alias("place")).alias("f"))
-    return met.groupBy("block").agg(F.collect_list("f").alias("facts"))
+    packed = F.coalesce(F.col("place") + 1, F.lit(0)).cast("long") * F.lit(1 << 32) + F.col("code")
+    met = local.join(known, "word", "left").select("block", packed.alias("packed"), F.coalesce("count", F.lit(0)).alias("count"))
+    return met.groupBy("block").agg(F.collect_list(F.struct("packed", "count")).alias("facts"))
 
 
 class Model:
@@ -210,14 +212,15 @@ def _positions(classes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np
 
 
 def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Blocks as (ids, held, lengths, codes, global counts by code, places by code)."""
+    """Blocks as (ids, held, lengths, codes, global counts by code, classes by code)."""
     for row in range(batch.num_rows):
         get = lambda name: batch.column(name)[row]  # noqa: B023, E731
         code = np.frombuffer(get("codes").as_py(), np.int32)
         f = get("facts").values
-        order = f.field("code").to_numpy(zero_copy_only=False)
+        packed = f.field("packed").to_numpy(zero_copy_only=False)
+        order = packed & 0xFFFFFFFF
         count, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        count[order], place[order] = f.field("count").to_numpy(zero_copy_only=False), f.field("place").to_numpy(zero_copy_only=False)
+        count[order], place[order] = f.field("count").to_numpy(zero_copy_only=False), packed >> 32
         yield get("ids").as_py(), np.array(get("held").as_py(), bool), np.array(get("lengths").as_py(), np.int64), code, count, place
 
 
@@ -236,7 +239,7 @@ def trained(known: DataFrame, model: Model) -> Model:
         for batch in batches:
             for ids, held, lengths, codes, _, place in _columns(batch):
                 rng = rng or np.random.default_rng([settings.seed, zlib.crc32(repr(ids).encode())])
-                classes = place[codes] + 1
+                classes = place[codes]
                 one, two = _positions(classes, lengths, len(own.logs))
                 keep = np.repeat(~held, lengths)
                 own.train(one[keep], two[keep], classes[keep], rng, sums)
@@ -267,14 +270,14 @@ def scores(known: DataFrame, model: Model, tokens: int, words: int, rest: tuple[
         for batch in batches:
             for ids, held, lengths, codes, count, place in _columns(batch):
                 base = np.log10((count + 1) / (tokens + words + 1))[codes]
-                classes = place[codes] + 1
+                classes = place[codes]
                 one, two = _positions(classes, lengths, len(own.logs))
                 value = np.empty(len(codes))
                 for at in range(0, len(codes), 1 << 16):
                     cut = slice(at, at + (1 << 16))
                     value[cut] = own.log_probability(one[cut], two[cut], classes[cut])
                 value /= np.log(10)
-                value += np.where(place < 0, np.log10((count + 1) / share), 0)[codes]
+                value += np.where(place == 0, np.log10((count + 1) / share), 0)[codes]
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 sums = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
                 columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths), pa.array(sums((count > 0)[codes].astype(np.int64))), pa.array(np.full(len(ids), tokens)), pa.array(sums(base)), pa.array(sums(value))]

@@ -23,7 +23,8 @@ def by_name(name: Column, catalog: Catalog) -> Column:
 def _lookup(table: dict[str, str], key: Column) -> Column:
     if not table:
         return F.lit(None).cast("string")
-    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
+    quoted = ("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in table.items() for x in pair)
+    return F.expr(f"map({', '.join(quoted)})")[key]  # one expression to parse, folded into a literal
 
 
 def by_shebang(first: Column) -> Column:

@@ -5,10 +5,9 @@ frequent, ties by hash; it is cut into fragments, and a set is cut with it.
 
 1. Classes. Documents with equal sets are one class (a 128-bit digest); a class is handled once.
 2. Candidates. In the order, the first n - ceil(t n) + 1 n-grams of a set (its head) meet those of every set that
-   reaches similarity t. Heads are posted by n-gram. Head n-grams that no other set has bound what a set can have in
-   common with any; sets that can't reach a partner go. A posting has a centre, the member with the fewest rare
+   reaches similarity t. Heads are posted by n-gram. A posting has a centre, the member with the fewest rare
    n-grams; a member goes with the centre it meets most often and with that of fewest rare n-grams, so a group of copies
-   gives stars, not all its pairs.
+   gives stars, not all its pairs. Stars are chosen by an estimate; what they miss, step 4 finds.
 3. Verification. For each candidate pair, every fragment counts its own part of the overlap; the
    parts are summed per pair and compared with t exactly.
 4. Components of the links found. A posting whose members lie in several components gives its pairs across
@@ -315,18 +314,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _reach(join: Join):
-    """The largest partner that a set of n n-grams, of which `seen` head n-grams occur elsewhere, can have.
+    """An estimate of the largest partner of a set of n n-grams, of which `seen` head n-grams stand in other heads.
 
-    Head n-grams that occur in no other set are not common to any pair.
+    It is no bound: an n-gram that is in no other head may stand beyond a partner's head. It only chooses stars.
     """
     head = F.col("n") - F.ceil(join.percent * F.col("n") / 100 - 1e-9) + 1
     common = F.col("n") - (head - F.col("seen"))
     return F.floor((100 + join.percent) * common / join.percent - F.col("n") + 1e-9)
 
 
-def _can_pair(join: Join):
-    """Whether sizes n and m, and what each set can reach, allow the similarity."""
-    return (100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("far_reach"))
+def _lengths_fit(join: Join):
+    return 100 * F.least("n", "m") >= join.percent * F.greatest("n", "m")
 
 
 def _needed(join: Join):
@@ -340,14 +338,12 @@ def _needed(join: Join):
 
 
 def _postings(docs: DataFrame, join: Join, order: Order) -> DataFrame:
-    """(gram, d1, n, rare, reach): heads' n-grams that several sets have, of sets that can reach some partner."""
+    """(gram, d1, n, rare): heads' n-grams that several sets' heads have."""
     same = "partition by gram, lane order by rare, d1 rows between unbounded preceding and unbounded following"
     first = [F.expr(f"first({c}) over ({same})").alias(f"first_{c}") for c in ("d1", "n", "rare")]
     met = _heads(docs, join, order).select("gram", "lane", "d1", "n", "rare", *first).where("d1 <> first_d1 or lane >= 0")
     met = written(met.select("gram", "d1", "n", "rare", "first_d1", "first_n", "first_rare").distinct(), "met")
-    flat = written(met.select("gram", "d1", "n", "rare").union(met.select("gram", "first_d1", "first_n", "first_rare")).distinct(), "postings")
-    sets = flat.groupBy("d1", "n").agg(F.count("*").alias("seen")).select("d1", _reach(join).alias("reach"), "n").where(100 * F.col("reach") >= join.percent * F.col("n"))
-    return written(flat.join(sets.drop("n"), "d1"), "reaching")
+    return written(met.select("gram", "d1", "n", "rare").union(met.select("gram", "first_d1", "first_n", "first_rare")).distinct(), "postings")
 
 
 def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
@@ -358,9 +354,12 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     order = _order(docs, join)
     posted = _postings(docs, join, order)
     # a document goes with the centre that it meets most often, and with that of fewest rare n-grams, a group's origin
+    sets = posted.groupBy("d1", "n").agg(F.count("*").alias("seen")).select("d1", _reach(join).alias("reach"), "n")
+    likely = posted.join(sets.where(100 * F.col("reach") >= join.percent * F.col("n")).drop("n"), "d1")
     centre = F.min_by(F.struct(F.col("d1").alias("centre"), F.col("n").alias("m"), F.col("reach").alias("far_reach"), F.col("rare").alias("rarest")), F.struct("rare", "d1"))
-    centres = posted.groupBy("gram").agg(F.count("*").alias("k"), centre.alias("c")).where("k > 1").select("gram", "c.*")
-    star = salted_lookup(posted, centres, "gram", 4, F.col("d1")).where("d1 <> centre").where(_can_pair(join))
+    likely = written(likely, "likely")
+    centres = likely.groupBy("gram").agg(F.count("*").alias("k"), centre.alias("c")).where("k > 1").select("gram", "c.*")
+    star = salted_lookup(likely, centres, "gram", 4, F.col("d1")).where("d1 <> centre").where(_lengths_fit(join) & (F.col("m") <= F.col("reach")) & (F.col("n") <= F.col("far_reach")))
     met = star.groupBy("d1", "centre", "rarest").agg(F.count("*").alias("met"))
     nearest = met.groupBy("d1").agg(F.max_by("centre", F.struct("met", "centre")).alias("one"), F.min_by("centre", F.struct(F.col("rarest"), -F.col("met"), F.col("centre"))).alias("two"))
     pairs = nearest.select("d1", F.explode(F.array_distinct(F.array("one", "two"))).alias("centre"))
@@ -374,9 +373,9 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     # of a set's n-grams there, short postings first, all but the last `needed` - 1 find every partner that shares so many
     own = "partition by d1"
     ranked = written(placed.join(mixed, "gram").withColumns({"at": F.expr(f"row_number() over ({own} order by k, gram)"), "of": F.expr(f"count(*) over ({own})")}).drop("k"), "ranked")
-    other = ranked.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("reach").alias("far_reach"), F.col("at").alias("far_at"), F.col("of").alias("far_of"))
+    other = ranked.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("at").alias("far_at"), F.col("of").alias("far_of"))
     short = (F.col("at") <= F.col("of") - _needed(join) + 1) & (F.col("far_at") <= F.col("far_of") - _needed(join) + 1)
-    rest = ranked.join(other, "gram").where("d1 < e and component <> far").where(_can_pair(join) & short).select(F.col("d1").alias("a"), F.col("e").alias("b")).distinct()
+    rest = ranked.join(other, "gram").where("d1 < e and component <> far").where(_lengths_fit(join) & short).select(F.col("d1").alias("a"), F.col("e").alias("b")).distinct()
     rest = written(rest.join(ordered, ["a", "b"], "left_anti"), "across")
     if rest.limit(1).count():
         links = written(links.union(_verified(rest, docs, classes, join, order)).distinct(), "links")

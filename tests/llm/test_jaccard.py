@@ -95,6 +95,24 @@ def test_groups_of_copies_chains_and_shared_passages(spark):
     check(spark, docs, lanes=2, fragments=1)
 
 
+def test_pairs_of_unequal_size_near_the_threshold(spark):
+    """y is x with words put in or appended, so head n-grams of x may stand beyond the head of y."""
+    rng, docs = random.Random(29), {}
+    for k in range(250):
+        x = [f"p{k}w{i}" for i in range(rng.randint(30, 160))]
+        y, n = list(x), len(x) - 4
+        m = round(n / rng.uniform(0.80, 0.87))
+        if k % 2:
+            y += [f"p{k}x{i}" for i in range(m - n)]
+        else:
+            at = rng.randrange(1, len(x))
+            y[at:at] = [f"p{k}x{i}" for i in range(max(m - n - 4, 1))]
+        docs |= {2 * k: " ".join(x), 2 * k + 1: " ".join(y)}
+    want = brute(docs)
+    assert sum(c != d for d, (_, c) in want.items()) > 150
+    check(spark, docs)
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(None, text, 1), (5, text, 2), (5, text, 2), (3, text + " tail", 3), (7, "other", 4), (None, None, 5)], "doc_id long, text string, n long")

@@ -1,7 +1,8 @@
 """License scans with a positional rare-token index, by DataFrame functions alone.
 
 The index holds, for each word of the licence templates, its postings (template, place). The corpus gives each
-word's document frequency over all documents. A document is looked up by its licence words of highest IDF: each
+word's document frequency over all documents. A document is looked up by its licence words of highest IDF, of each template
+with `apart`, else of all together, where one template's words can take another's places: each
 occurrence of these anchors meets its postings, and place in the document less place in the template is the offset at which that
 template would stand. Offsets that several anchors agree on are aligned: the template is compared word by word there, and
 it counts where the share of its words reaches `least` and its mandatory key phrases stand whole at their places.
@@ -56,11 +57,12 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Scan:
-    """anchors: words of highest IDF looked up in a document; least: share of a template's words that must stand."""
+    """anchors: words of highest IDF looked up in a document; apart: so many (two at least) of each template; least: share of a template's words that must stand."""
 
     anchors: int = 16
     least: float = 0.7
     templates: tuple[Template, ...] = TEMPLATES
+    apart: bool = False
 
 
 def based(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -140,6 +142,8 @@ def _method(scan: Scan, idf: dict[str, float]) -> Column:
     postings = index(scan)
     ranked = sorted(idf, key=lambda w: (-idf[w], w))
     rank = F.create_map(*(x for k, w in enumerate(ranked) for x in (F.lit(w), F.lit(k))))
+    most = max(scan.anchors, 2)
+    own = [sorted({ranked.index(w) for w in t.text.split()}) for t in scan.templates]
     table = F.create_map(*(x for w in ranked for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w])))))
     texts = F.array(*(F.array(*map(F.lit, t.text.split())) for t in scan.templates))
     labels = F.array(*(F.lit(t.label) for t in scan.templates))
@@ -157,11 +161,18 @@ def _method(scan: Scan, idf: dict[str, float]) -> Column:
 
     def found(words: Column) -> Column:
         ranked_words = F.filter(F.transform(words, lambda w, at: F.struct(rank[w].alias("rank"), at.alias("at"), w.alias("word"))), lambda x: x["rank"].isNotNull())
-        return let(ranked_words, lambda occurring: let(F.array_sort(F.array_distinct(F.transform(occurring, lambda x: x["rank"]))), lambda known: placed(words, occurring, F.element_at(known, F.least(F.size(known), F.lit(scan.anchors))))))
-
-    def placed(words: Column, occurring: Column, last: Column) -> Column:
-        anchors = let(last, lambda r: F.filter(occurring, lambda x: x["rank"] <= r))
-        offsets = F.array_sort(F.flatten(F.transform(anchors, lambda x: F.transform(table[x["word"]], lambda y: code(y["t"], x["at"] - y["p"])))))
+        return let(ranked_words, lambda occurring: let(F.array_sort(F.array_distinct(F.transform(occurring, lambda x: x["rank"]))), lambda known: let(F.array(*(last(r, known) for r in own)), lambda lasts: placed(words, occurring, lasts))))
+
+    def last(ranks: list[int], known: Column) -> Column:
+        """The rank of a template's last anchor in a document."""
+        if not scan.apart:
+            return F.element_at(known, F.least(F.size(known), F.lit(scan.anchors)))
+        if len(ranks) <= most:
+            return F.lit(ranks[-1])
+        return F.coalesce(F.get(F.array_intersect(F.array(*map(F.lit, ranks)), known), F.lit(most - 1)), F.lit(ranks[-1]))
+
+    def placed(words: Column, occurring: Column, lasts: Column) -> Column:
+        offsets = F.array_sort(F.flatten(F.transform(occurring, lambda x: F.transform(F.filter(table[x["word"]], lambda y: x["rank"] <= F.get(lasts, y["t"])), lambda y: code(y["t"], x["at"] - y["p"])))))
         agreed = let(offsets, lambda every: F.array_distinct(F.filter(every, lambda q, k: q == F.get(every, k + 1))))
         return F.filter(F.transform(agreed, lambda q: aligned(words, q)), lambda f: f["coverage"] >= scan.least)
 

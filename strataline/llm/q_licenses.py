@@ -8,7 +8,7 @@ from . import common, licenses
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(common.table(spark, sf_dir, "documents")).drop("found")
+    return licenses.scanned(common.table(spark, sf_dir, "documents"), licenses.Scan(apart=True)).drop("found")
 
 
 QUERIES = {"op9_license_scan": op9_license_scan}

@@ -55,6 +55,18 @@ def test_against_loops(spark):
     assert rows(licenses.scanned(frame)) == plain(docs)
 
 
+def test_notices_beside_words_of_other_templates(spark):
+    """Every whole notice is found, whatever words of other templates stand in the text."""
+    every = [t.text for t in licenses.TEMPLATES]
+    words = " ".join(sorted({w for t in every for w in t.split()}))
+    docs = {0: ". ".join(every), **{k + 1: f"{words}. {t}. {words}" for k, t in enumerate(every)}}
+    frame = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scanned(frame, licenses.Scan(apart=True)).collect()}
+    assert {f["label"] for f in got[0].found if f["coverage"] == 1} == {t.label for t in licenses.TEMPLATES}
+    for k, t in enumerate(licenses.TEMPLATES):
+        assert (t.label, 1.0) in {(f["label"], f["coverage"]) for f in got[k + 1].found}
+
+
 def test_repeats_null_ids_and_empty(spark):
     frame = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "cc by")], "doc_id long, text string")
     got = [tuple(r) for r in licenses.scanned(frame).drop("found").collect()]

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import slices, strings
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -243,11 +243,8 @@ def utf8_step(state: int, byte: int) -> int:
 
 
 class Decoder:
-    """Decodes token ids as they come: complete characters are given out, a cut one waits for its rest.
-
-    The machine is lifted from bytes to tokens: steps[s][t] is the state after token t from state s,
-    so a stretch of tokens that begin and end between characters is one join.
-    """
+    """The machine lifted from bytes to tokens: steps[s][t] is the state after token t from state s, so tokens that begin
+    and end between characters are passed over in one go."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -262,9 +259,6 @@ class Decoder:
                     now = table[now][byte]
                 self.steps[state, rank] = now
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
     def state_after(self, ids: np.ndarray, state: int = 0) -> int:
         """The machine's state after the tokens; BAD stays."""
         at = 0
@@ -276,39 +270,82 @@ class Decoder:
                 return BAD
         return BAD if state and at < len(ids) else state
 
-    def stream(self, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
-        """Text of a stream of id chunks; ill-formed bytes become U+FFFD, and so does a cut end."""
-        state, held = 0, bytearray()
-        for chunk in chunks:
-            out = bytearray()
-            for token in chunk:
-                for byte in self.tokens[token]:
-                    now = utf8_step(state, byte)
-                    if now == BAD:
-                        if held:
-                            out += "�".encode()
-                            held.clear()
-                        now = utf8_step(0, byte)
-                        if now == BAD:
-                            out += "�".encode()
-                            state = 0
-                            continue
-                    held.append(byte)
-                    state = now
-                    if state == 0:
-                        out += held
-                        held.clear()
-            if out:
-                yield out.decode()
-        if held:
-            yield "�"
+
+class Stream:
+    """Decodes one stream of token ids, a chunk at a time: complete characters are given out, a cut one waits for its rest.
+
+    Ill-formed bytes become U+FFFD, and so does a cut end; `well_formed` says whether any did.
+    """
+
+    def __init__(self, decoder: Decoder):
+        self.decoder, self.state, self.held, self.well_formed = decoder, 0, b"", True
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The bytes of the characters that are complete with these ids."""
+        raw = b"".join(map(self.decoder.tokens.__getitem__, ids.tolist()))
+        then = self.decoder.state_after(ids, self.state)
+        if then == BAD:
+            return self._mended(raw)
+        whole = self.held + raw
+        self.state = then
+        cut = 0 if then == 0 else next(k for k in range(1, 4) if whole[-k] >= 0xC0)  # back to where the open character starts
+        self.held = whole[len(whole) - cut :]
+        return whole[: len(whole) - cut]
+
+    def _mended(self, raw: bytes) -> bytes:
+        """The same by single steps, for a chunk with ill-formed bytes."""
+        out, held, state, self.well_formed = bytearray(), bytearray(self.held), self.state, False
+        for byte in raw:
+            now = utf8_step(state, byte)
+            if now == BAD:
+                if held:
+                    out += _MARK
+                    held.clear()
+                now = utf8_step(0, byte)
+                if now == BAD:
+                    out += _MARK
+                    state = 0
+                    continue
+            held.append(byte)
+            state = now
+            if state == 0:
+                out += held
+                held.clear()
+        self.state, self.held = state, bytes(held)
+        return bytes(out)
+
+    def end(self) -> bytes:
+        left, self.held, self.state = self.held, b"", 0
+        self.well_formed &= not left
+        return _MARK if left else b""
+
+
+_MARK = "\N{REPLACEMENT CHARACTER}".encode()
+
+
+def decoded(decoder: Decoder, ids: np.ndarray, chunk: int = 4096) -> tuple[bytes, bool]:
+    """A whole stream through the machine, in chunks: its bytes, and whether they were well-formed."""
+    stream = Stream(decoder)
+    out = [stream.feed(ids[at : at + chunk]) for at in range(0, len(ids), chunk)]
+    out.append(stream.end())
+    return b"".join(out), stream.well_formed
+
+
+class Codec:
+    """An encoder and a decoder of one vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.encoder, self.decoder = Encoder(ranks, pattern), Decoder(ranks)
 
 
 _TABLES: dict = {}
 
 
 def _kept(kind: type, ranks: bytes, *more: str):
-    """A worker's encoder or decoder, kept for its next task with what its tables have learnt."""
+    """A worker's encoder or decoder, kept for its next task with what its tables have learnt.
+
+    One at a time is kept; its tables have fixed bounds (some 100 MB in all, most of it states and pieces).
+    """
     key = (kind, hash(ranks), len(ranks), *more)
     if key not in _TABLES:
         _TABLES.clear()
@@ -316,51 +353,57 @@ def _kept(kind: type, ranks: bytes, *more: str):
     return _TABLES[key]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that the ids of few texts are held as Python numbers at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(x, np.int32) for x in rows]) if rows else np.zeros(0, np.int32)))
 
 
-def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "token_ids", keep_text: bool = False) -> DataFrame:
+def _streams(lists: pa.ListArray) -> list[np.ndarray]:
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _decoded_columns(decoder: Decoder, streams: list[np.ndarray]) -> list[pa.Array]:
+    rows = [decoded(decoder, x) for x in streams]
+    return [pa.array([x for x, _ in rows], pa.binary()), pa.array([fine for _, fine in rows], pa.bool_())]
+
+
+def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "token_ids", keep_text: bool = False, out: str | None = None) -> DataFrame:
     """docs with the token ids (array<int>) of the whole text instead of the text; the other columns stay.
 
+    out: a column for the bytes that the ids decode to (and `well_formed` beside it), decoded in the same worker from the ids alone.
     ranks: contents of a .tiktoken file, broadcast (it has the size of the vocabulary).
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    kept = [f for f in docs.schema.fields if f.name != ids and (keep_text or f.name != text)]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(out, T.BinaryType(), False), T.StructField("well_formed", T.BooleanType(), False)] if out else [])]
+    kept = [f for f in docs.schema.fields if f.name not in {f.name for f in made} and (keep_text or f.name != text)]
+    schema = T.StructType([*kept, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _kept(Encoder, shared.value, pattern)
+        codec = _kept(Codec, shared.value, pattern)
         gc.disable()  # the tables are large and rarely hold cycles; a full table collects
         try:
-            yield from encoded(encoder, batches)
+            for batch in (part for whole in batches for part in slices(whole, 256)):
+                lists = _lists([codec.encoder.encode(x) for x in strings(batch.column(text))])
+                more = _decoded_columns(codec.decoder, _streams(lists)) if out else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), lists, *more], names=[f.name for f in schema.fields])
         finally:
             gc.enable()
 
-    def encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole)):
-            rows = [encoder.encode(x) for x in strings(batch.column(text))]
-            column = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int32), pa.array(np.concatenate([np.asarray(x, np.int32) for x in rows]) if rows else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), column], names=[f.name for f in schema.fields])
-
-    return docs.select(*(f"`{f.name}`" for f in docs.schema.fields if f.name != ids)).mapInArrow(run, schema)
+    read = dict.fromkeys([*(f.name for f in kept), text])
+    return docs.select(*(f"`{c}`" for c in read)).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """The bytes of the ids instead of the ids, and whether the state machine ends between characters."""
+    """The bytes of the ids instead of the ids, and whether the state machine found them well-formed."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
     kept = [f for f in encoded.schema.fields if f.name not in (ids, out, "well_formed")]
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType(), False), T.StructField("well_formed", T.BooleanType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _kept(Decoder, shared.value)
-        for batch in (part for whole in batches for part in _slices(whole)):
-            lists = batch.column(ids)
-            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([decoder.decode(x.tolist()) for x in rows], pa.binary()), pa.array([decoder.state_after(x) == 0 for x in rows], pa.bool_())], names=[f.name for f in schema.fields])
+        for batch in (part for whole in batches for part in slices(whole, 256)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *_decoded_columns(decoder, _streams(batch.column(ids)))], names=[f.name for f in schema.fields])
 
     return encoded.mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,22 +39,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder: other applications may use the same shared one."""
+    return f"{shared_dir(spark)}/strataline/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/strataline/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage is cut there, and a lost executor costs no more than its own tasks."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by `written` from which nothing is read any more."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame._scratch)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application (call it once results have been written)."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/strataline"
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark, _own_dir(spark))
 
 
 def ascii_lower(col: Column | str) -> Column:
@@ -77,6 +94,17 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, salts: int = 16,
     return rows.withColumn("_lane", lane).join(lanes, [key, "_lane"], "left").drop("_lane")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that Python objects of few rows are held at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """docs as one struct column `row` beside the columns `read`, so that no column of the caller meets a name of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`") for c in read))
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -19,9 +19,8 @@ def rank_bytes(name: str = RANK_FILE) -> bytes:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = rank_bytes()
-    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    digested = encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), "token_ids")
-    return bpe.decode_documents(digested, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, out="decoded")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op7_byte_bpe": op7_byte_bpe}

@@ -6,8 +6,9 @@ estimates how often each rule is right about good and about bad documents, and t
 probability of quality under these estimates decides; no rule alone does.
 
 Cases: null or empty text has no words and counts 0 everywhere; texts of any length are read whole; repeated
-rows count as often as they occur; an empty table gives an empty table; columns of the input that are
-named like a result are replaced.
+rows count as often as they occur; an empty table gives an empty table; a column of the input that is
+named like a result (MEASURES, quality, quality_kept) is replaced by it, any other name is free, rules' names too. `row_verdicts`
+leaves every column of the input as it is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import packed, slices, utf8
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_upper", "n_letters", "n_digits", "n_stop"]
 
@@ -76,7 +77,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     schema = T.StructType([*kept, *(T.StructField(m, T.LongType(), False) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             table = np.array([measure(x) for x in utf8(batch.column(text))], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(table[:, k].copy()) for k in range(len(MEASURES)))], names=[f.name for f in schema.fields])
 
@@ -98,7 +99,7 @@ class Rule:
         v = self.value
         good, bad = (v >= self.good, v < self.bad) if self.lower else (v <= self.good, v > self.bad)
         vote = F.when(good, 1).when(bad, -1).otherwise(0)
-        return (vote if self.needs is None else F.when(self.needs, vote).otherwise(0)).cast("int").alias(self.name)
+        return (vote if self.needs is None else F.when(self.needs, vote).otherwise(0)).cast("int")
 
 
 def default_rules() -> list[Rule]:
@@ -170,7 +171,7 @@ def fit(votes: np.ndarray, counts: np.ndarray, rules: tuple[str, ...], iteration
 
 def code_of(rules: list[Rule]) -> Column:
     """A document's votes as one number in base 3."""
-    return reduce(lambda acc, r: acc * 3 + F.col(r.name) + 1, rules, F.lit(0)).cast("int")
+    return reduce(lambda acc, r: acc * 3 + r.vote() + 1, rules, F.lit(0)).cast("int")
 
 
 def decode(codes: np.ndarray, n: int) -> np.ndarray:
@@ -190,7 +191,7 @@ class Fitted:
 def fitted(measures: DataFrame, rules: list[Rule] | None = None) -> Fitted:
     """The label model of all documents; patterns go to the driver, 3 ** rules rows at most."""
     rules = rules or default_rules()
-    seen = measures.select(*(r.vote() for r in rules)).select(code_of(rules).alias("votes")).groupBy("votes").count().collect()
+    seen = measures.select(code_of(rules).alias("votes")).groupBy("votes").count().collect()
     codes = np.array([r[0] for r in seen], np.int64)
     votes = decode(codes, len(rules))
     model = fit(votes, np.array([r[1] for r in seen], float), tuple(r.name for r in rules))
@@ -199,9 +200,16 @@ def fitted(measures: DataFrame, rules: list[Rule] | None = None) -> Fitted:
 
 def judged(measures: DataFrame, fit_: Fitted, threshold: float = 0.5) -> DataFrame:
     """measures with quality (posterior probability) and quality_kept."""
-    voted = measures.select("*", *(r.vote() for r in fit_.rules)).withColumn("_votes", code_of(fit_.rules)).drop(*(r.name for r in fit_.rules))
-    facts = measures.sparkSession.createDataFrame([(int(c), float(x)) for c, x in zip(fit_.codes, fit_.posterior, strict=True)], "_votes int, quality double")
-    return voted.join(F.broadcast(facts), "_votes", "left").drop("_votes").withColumn("quality_kept", F.col("quality") >= threshold)
+    kept = [c for c in measures.columns if c not in ("quality", "quality_kept")]
+    voted = measures.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), code_of(fit_.rules).alias("votes"))
+    facts = measures.sparkSession.createDataFrame([(int(c), float(x)) for c, x in zip(fit_.codes, fit_.posterior, strict=True)], "votes int, quality double")
+    return voted.join(F.broadcast(facts), "votes", "left").select("row.*", "quality", (F.col("quality") >= threshold).alias("quality_kept"))
+
+
+def row_verdicts(docs: DataFrame, fit_: Fitted, text: str = "text") -> DataFrame:
+    """Each row of docs as a struct `row`, untouched, with base_failed and kept."""
+    judged_ = judged(measured(packed(docs, text), text, ["row"]), fit_)
+    return judged_.select("row", base_failed().alias("base_failed"), (~base_failed() & F.col("quality_kept")).alias("kept"))
 
 
 def base_failed() -> Column:

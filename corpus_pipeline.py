@@ -21,8 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     common.ready(spark)
     fit = quality.fitted(common.written(quality.measured(docs, keep=[]), "quality"))
-    judged = quality.judged(quality.measured(docs), fit)
-    return judged.where(~quality.base_failed() & F.col("quality_kept")).select(*docs.columns)
+    return quality.row_verdicts(docs, fit).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +56,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, decoded again for the digest."""
     common.ready(spark)
     ranks = q_bpe.rank_bytes()
-    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    digested = encoded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), F.col("token_ids").alias("ids"), "token_ids")
-    return bpe.decode_documents(digested, ranks).select("doc_id", "source", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    coded = bpe.encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, out="decoded")
+    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), bpe.id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("token_ids").alias("ids"))
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram jaccard join", near_duplicates), ("secret scans", secret_scan), ("source mixing", mix), ("byte-level bpe", tokens)]

@@ -1,19 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-The documents of a source fall into `blocks` blocks by a hash. A source whose target is r times its size is
-drawn in floor(r) full passes over its blocks, each in its own permuted order, and a last pass that takes
-blocks until the rest of the target is met. This gives each source an exact quota of block draws. The
-quotas are split among output shards by a tree: at each node the draws of its left half are
-multivariate-hypergeometric given the node's quotas, so the shards' shares are those of a shuffle of all draws, and
-they are known without moving a row. A shard owns disjoint stretches of each source's permuted draws; its
-rows are shuffled locally by a keyed hash.
-
-Only tables with one row a source reach the driver or are broadcast (`max_sources`, an error beyond it), and one source's
-blocks (a fixed number) meet in one task. Every random choice is keyed by `seed`, so reruns agree.
-
-Cases: null text has size 0; null is a source, sorted last; documents of size 0 are drawn like others and
-take 0 words; repeated rows fall into the same block and are drawn together; an empty table gives an empty table;
-columns named like a result are replaced.
+The documents of a source fall into blocks by a hash: `Mix.blocks` of them, and more where a block would exceed
+`block_words`. A source whose target is r times its size is drawn in floor(r) full passes over its blocks, each in its own
+permuted order, and a last pass that takes blocks until the rest of the target is met. This gives each source an exact quota of
+block draws. The quotas are split among output shards by a tree: at each node the draws of its left half are
+multivariate-hypergeometric given the node's quotas, so the shards' shares are those of a shuffle of all draws. Nodes are
+split in parallel, `fan` leaves by one task. A shard owns disjoint stretches of each source's permuted draws;
+rows are dealt to shards and shuffled within each by a keyed hash. The number of shards follows the words of the mix.
+
+Everything is a table: of one row a source, or a block, or a draw (a block is some million words). Nothing of them is
+collected; they are broadcast where a count shows them small, else looked up by a shuffle in which no source stands in one task.
+A source's own blocks meet in one task, 20 bytes for each. Draws are kept under 2 ** 29 by larger blocks, which is what
+numpy draws exactly. Every random choice is keyed by `seed`, so reruns agree, however rows are partitioned.
+
+Cases: null text has size 0; null is a source, sorted last; documents of size 0 are drawn in full passes like others and
+take 0 words; texts of any length are counted whole and never cut; rows that repeat doc_id and text fall into the
+same block and are drawn together; an empty table gives an empty table; columns of the input pass unchanged whatever their names
+(`mixed` alone replaces columns named shard and copy).
 """
 
 from __future__ import annotations
@@ -24,37 +27,39 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, salted_lookup, written
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Parameters: weights repeat over the sources in sorted order; cap: most times that a source is taken."""
+    """weights repeat over the sources in sorted order; cap: most times that a source is taken; blocks: of a source, at least;
+    block_words: of a block, beyond that; shard_words: of an output shard; fan: leaves that a task splits a node into."""
 
     weights: tuple[float, ...] = (1, 2, 3)
     cap: float = 3.0
     blocks: int = 1024
-    shards: int = 64
+    block_words: int = 1_000_000
+    shard_words: int = 2_000_000
+    fan: int = 64
     seed: int = 17
-    max_sources: int = 10_000
-
-
-def targets(sizes: np.ndarray, weights: np.ndarray, cap: float) -> np.ndarray:
-    """Shares of the total by weight; what is above cap x size is shared again among the others by weight."""
-    sizes, out = sizes.astype(float), np.zeros(len(sizes))
-    total, free = sizes.sum(), np.ones(len(sizes), bool)
-    while free.any():
-        share = np.where(free, (total - out[~free].sum()) * weights / weights[free].sum(), out)
-        above = free & (share > cap * sizes)
-        out = share
-        if not above.any():
-            break
-        out = np.where(above, cap * sizes, share)
-        free &= ~above
-    return out
+
+
+@dataclass(frozen=True)
+class Plan:
+    """sources: (name, sid, source_size, target, blocks); draws: (sid, block, draws: array of turn, shard); shards: their number."""
+
+    sources: DataFrame
+    draws: DataFrame
+    shards: int
+
+
+#: Draws stay below this number, which numpy draws exactly from.
+MOST_DRAWS = 1 << 29
+#: Tables of so many rows at most (some 100 bytes each) are broadcast.
+SMALL = 50_000
 
 
 def _rng(seed: int, *what: object) -> np.random.Generator:
@@ -62,115 +67,163 @@ def _rng(seed: int, *what: object) -> np.random.Generator:
     return np.random.default_rng([seed, *np.frombuffer(digest, np.uint32).tolist()])
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: how many draws of each source a shard gets; shards have equal numbers of draws, within one."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    todo = [(0, shards, quotas.astype(np.int64))]
+def split_quotas(quotas: np.ndarray, low: int, high: int, seed: int, fan: int = 1 << 30) -> list[tuple[int, int, np.ndarray]]:
+    """A node (shards low to high, quotas by source) as up to `fan` nodes below it: (low, high, quotas).
+
+    Halves have equal numbers of draws by their shards, rounded down at each node.
+    """
+    out, todo = [], [(low, high, quotas.astype(np.int64), fan)]
     while todo:
-        low, high, left = todo.pop()
-        if high - low == 1:
-            out[low] = left
+        a, b, left, most = todo.pop()
+        if b - a == 1 or most < 2:
+            out.append((a, b, left))
             continue
-        middle = (low + high) // 2
-        total = int(left.sum())
-        n = total * (middle - low) // (high - low)
-        drawn = _rng(seed, "node", low, high).multivariate_hypergeometric(left, n, method="marginals") if total < 10**9 else _large(left, n, _rng(seed, "node", low, high))
-        todo += [(low, middle, drawn), (middle, high, left - drawn)]
+        middle = (a + b) // 2
+        drawn = _rng(seed, "node", a, b).multivariate_hypergeometric(left, int(left.sum()) * (middle - a) // (b - a), method="marginals")
+        todo += [(middle, b, left - drawn, most // 2), (a, middle, drawn, most // 2)]
     return out
 
 
-def _large(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """Beyond what numpy draws exactly: the normal limit, within the support and of the exact sum."""
-    out, left, rest = np.zeros_like(quotas), n, int(quotas.sum())
-    for k, q in enumerate(quotas.tolist()):
-        others = rest - q
-        if rest:
-            p = q / rest
-            x = round(left * p + rng.standard_normal() * (left * p * (1 - p) * others / max(rest - 1, 1)) ** 0.5)
-            out[k] = min(max(x, left - others, 0), q, left)
-        left, rest = left - int(out[k]), others
-    return out
-
+def _name() -> Column:
+    """A source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
 
-def _permutation(seed: int, source: str | None, turn: int, blocks: int) -> np.ndarray:
-    """Each block's place in one pass over a source."""
-    return _rng(seed, "pass", source, turn).permutation(blocks).astype(np.int32)
 
+def sized(docs: DataFrame, mix: Mix, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row: struct of docs' columns or of those in keep; name of the source, key, size: words of the whole text)."""
+    key = F.xxhash64(F.lit(mix.seed), *(F.col(c) for c in ("doc_id", text) if c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in (keep if keep is not None else docs.columns)))
+    return docs.select(row.alias("row"), _name().alias("name"), key.alias("key"), n_words(text).alias("size"))
 
-def _last_pass(group: pd.DataFrame, mix: Mix) -> pd.DataFrame:
-    """Of one source's blocks (words by block), those that the last pass takes, in permuted order: each that still fits."""
-    source = group["source"].iloc[0]
-    source = None if pd.isna(source) else source
-    words = np.zeros(mix.blocks, np.int64)
-    words[group["block"].to_numpy()] = group["words"].to_numpy()
-    need, turn = float(group["rest"].iloc[0]), int(group["passes"].iloc[0])
-    order = np.argsort(_permutation(mix.seed, source, turn, mix.blocks))
-    place = np.full(mix.blocks, -1, np.int32)
-    taken = 0
-    passed = []
-    for block in order[words[order] > 0].tolist():
-        if words[block] <= need:
-            place[block], taken, need = taken, taken + 1, need - words[block]
-        else:
-            passed.append(block)
-    smallest = min(passed, key=lambda b: words[b], default=None)
-    if smallest is not None and words[smallest] - need < need:  # one more comes nearer to the target than none
-        place[smallest], taken = taken, taken + 1
-    return pd.DataFrame({"source": [source], "last": [place.tolist()], "quota": [turn * mix.blocks + taken]})
 
+def _looked_up(rows: DataFrame, facts: DataFrame, on: str, salt: Column) -> DataFrame:
+    return rows.join(F.broadcast(facts), on, "left") if facts.count() <= SMALL else salted_lookup(rows, facts, on, 16, salt)
 
-def sized(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
-    """docs with size (words of the whole text) and block."""
-    hashed = F.xxhash64(F.lit(mix.seed), *(c for c in ("doc_id", text) if c in docs.columns))
-    return docs.withColumns({"size": n_words(text), "block": F.pmod(hashed, F.lit(mix.blocks)).cast("int")})
 
+def targeted(rows: DataFrame, mix: Mix) -> DataFrame:
+    """(name, sid, source_size, target, blocks, passes, rest): one row a source; sid is its place in the sorted order.
 
-def plan(rows: DataFrame, mix: Mix) -> DataFrame:
-    """One row a source: its size and target, the passes, the blocks' places in each, and where shards end.
-
-    rows: (source, size, block) of all documents.
+    Targets: shares of all words by weight; where one exceeds cap times its source's size it stops there, and the rest is shared
+    again. As shares only grow, the sources above are those with less words for their weight than the current share asks for.
     """
-    spark = rows.sparkSession
-    by_block = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    totals = by_block.groupBy("source").agg(F.sum("words").alias("size")).limit(mix.max_sources + 1).collect()
-    if len(totals) > mix.max_sources:
-        raise ValueError(f"more than {mix.max_sources} sources")
-    totals.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    sizes = np.array([r[1] for r in totals], np.int64)
-    weights = np.array([mix.weights[k % len(mix.weights)] for k in range(len(totals))], float)
-    goal = targets(sizes, weights, mix.cap)
-    passes = [int(g // s) if s else 0 for g, s in zip(goal, sizes, strict=True)]
-    facts = [(r[0], int(s), float(g), p, float(g - p * s)) for r, s, g, p in zip(totals, sizes, goal, passes, strict=True)]
-    base = spark.createDataFrame(facts, "source string, source_size long, target double, passes int, rest double")
-    same = by_block["source"].eqNullSafe(base["source"])
-    last = by_block.join(F.broadcast(base), same).select(by_block["source"], "block", "words", "passes", "rest").groupBy("source").applyInPandas(partial(_last_pass, mix=mix), "source string, last array<int>, quota long").collect()
-    lasts = {r.source: r for r in last}
-    quotas = np.array([lasts[f[0]].quota for f in facts], np.int64)
-    ends = split_quotas(quotas, mix.shards, mix.seed).cumsum(axis=0) if len(facts) else np.zeros((mix.shards, 0), np.int64)
+    sums = rows.groupBy("name").agg(F.sum("size").alias("source_size"))
+    ordered = sums.orderBy(F.col("name") == "-", "name").withColumn("id", F.monotonically_increasing_id())
+    ordered = written(ordered, "sources")
+    part = F.shiftright("id", 33)
+    starts, at = {}, 0
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):  # one row a partition
+        starts[r.part], at = at, at + r["count"]
+    offsets = rows.sparkSession.createDataFrame(sorted(starts.items()), "part long, start long")
+    placed = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").select("name", "source_size", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("sid"))
+    weight = F.get(F.array(*(F.lit(float(w)) for w in mix.weights)), F.pmod("sid", F.lit(len(mix.weights))).cast("int"))
+    placed = placed.withColumn("weight", weight)
+    most = F.lit(float(mix.cap)) * F.col("source_size")
+    total, share, above, before = 0, 0.0, F.lit(False), -1
+    while True:
+        got = placed.agg(F.sum("source_size").alias("total"), F.sum(F.when(above, F.col("source_size"))).alias("held"), F.sum(F.when(~above, F.col("weight"))).alias("free"), F.count_if(above).alias("n")).first()
+        if not got.free or got.n == before:
+            break
+        total, before = got.total, got.n
+        share = (total - mix.cap * (got.held or 0)) / got.free
+        above = F.lit(share) * F.col("weight") > most
+    least = max(1, min(mix.blocks, MOST_DRAWS // int(4 * mix.cap) // max(at, 1)))
+    block = max(mix.block_words, int(4 * mix.cap * total) // MOST_DRAWS)
+    target = F.when(above, most).otherwise(F.lit(share) * F.col("weight"))
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    facts = placed.withColumn("target", target).withColumn("passes", passes)
+    grown = F.lit(2).cast("long") ** F.ceil(F.log2(F.greatest(F.col("source_size") / F.lit(block), F.lit(1.0))))
+    return facts.select("name", "sid", "source_size", "target", "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"), F.greatest(F.lit(least), grown.cast("long")).alias("blocks"))
+
+
+def _last_pass(group: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """Of one source's blocks with words, those that its last pass takes, in permuted order: each that still fits, and one more
+    if that comes nearer to the target."""
+    group = group.sort_values("block", ignore_index=True)
+    sid, need = int(group["sid"].iloc[0]), float(group["rest"].iloc[0])
+    words = group["words"].to_numpy()
+    order = _rng(seed, "last", sid).permutation(len(words))
+    fits = int(np.searchsorted(np.cumsum(words[order]), need, side="right"))
+    taken = order[:fits].tolist()
+    need -= float(words[order[:fits]].sum())
+    for k in order[fits:].tolist():
+        if words[k] <= need:
+            taken.append(k)
+            need -= words[k]
+    left = np.setdiff1d(np.arange(len(words)), taken)
+    if len(left):
+        smallest = left[words[left].argmin()]
+        if words[smallest] - need < need:
+            taken.append(int(smallest))
+    return pd.DataFrame({"sid": sid, "block": group["block"].to_numpy()[taken], "words": words[taken], "turn": int(group["passes"].iloc[0])})
+
+
+def _split(group: pd.DataFrame, seed: int, fan: int) -> pd.DataFrame:
+    group = group.sort_values("sid", ignore_index=True)
+    low, high, sid = int(group["low"].iloc[0]), int(group["high"].iloc[0]), group["sid"].to_numpy()
     out = []
-    for k, (source, size, target, n, _) in enumerate(facts):
-        places = [_permutation(mix.seed, source, turn, mix.blocks).tolist() for turn in range(n)]
-        out.append((source, size, target, [*places, lasts[source].last], [int(x) for x in ends[:, k]]))
-    return spark.createDataFrame(out, "source string, source_size long, target double, places array<array<int>>, shard_ends array<long>")
-
-
-def drawn(rows: DataFrame, by_source: DataFrame, mix: Mix) -> DataFrame:
-    """rows (of `sized`) with source_size, target and draws: array<struct<pass, shard>>, one element a copy.
-
-    The plan has one row a source, `max_sources` at most, each of a fixed size: it is broadcast.
-    """
-    kept = [rows[c] for c in rows.columns if c not in ("source_size", "target", "draws")]
-    joined = rows.join(F.broadcast(by_source), rows["source"].eqNullSafe(by_source["source"]), "left")
-    place = F.transform("places", lambda x, turn: F.struct(turn.alias("pass"), (turn.cast("long") * mix.blocks + x[F.col("block")]).alias("at"), x[F.col("block")].alias("place")))
-    owned = F.transform(F.filter(place, lambda d: d["place"] >= 0), lambda d: F.struct(d["pass"].alias("pass"), F.size(F.filter("shard_ends", lambda e: e <= d["at"])).alias("shard")))
-    return joined.select(*kept, by_source["source_size"], by_source["target"], owned.alias("draws"))
+    for a, b, quotas in split_quotas(group["quota"].to_numpy(), low, high, seed, fan):
+        some = np.flatnonzero(quotas)
+        out.append(pd.DataFrame({"low": a, "high": b, "sid": sid[some], "quota": quotas[some]}))
+    return pd.concat(out)
+
+
+def shares(quotas: DataFrame, shards: int, mix: Mix) -> DataFrame:
+    """(shard, sid, quota) of all shards from (sid, quota): the tree, `fan` leaves of a node at a time."""
+    nodes, width = quotas.select(F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("high"), "sid", "quota"), shards
+    while width > 1:
+        nodes = written(nodes.groupBy("low", "high").applyInPandas(partial(_split, seed=mix.seed, fan=mix.fan), "low long, high long, sid long, quota long"), "nodes")
+        width = nodes.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 1
+    return nodes.select(F.col("low").alias("shard"), "sid", "quota")
+
+
+def with_block(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (of `sized`) with sid, source_size, target and block."""
+    met = _looked_up(rows, sources.select("name", "sid", "source_size", "target", "blocks"), "name", F.col("key"))
+    return met.withColumn("block", F.pmod("key", "blocks")).drop("blocks")
+
+
+def plan(rows: DataFrame, mix: Mix) -> Plan:
+    """What each shard draws. rows: (name, key, size) of all documents, a table that is read twice."""
+    sources = written(targeted(rows, mix), "targets")
+    by_block = written(with_block(rows, sources).groupBy("sid", "block").agg(F.sum("size").alias("words")), "by-block")
+    met = _looked_up(by_block, sources.select("sid", "passes", "rest"), "sid", F.col("block"))
+    full = met.where("passes > 0").select("sid", "block", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("turn"))
+    last = met.where("rest > 0 and words > 0").groupBy("sid").applyInPandas(partial(_last_pass, seed=mix.seed), "sid long, block long, words long, turn long")
+    draws = written(full.unionByName(last), "draws")
+    # a source's draws in permuted order, and the shard whose stretch of them each falls into
+    shards = max(1, -(-(draws.agg(F.sum("words")).first()[0] or 0) // mix.shard_words))
+    leaves = shares(draws.groupBy("sid").agg(F.count("*").alias("quota")), shards, mix)
+    start = F.sum("quota").over(Window.partitionBy("sid").orderBy("shard")) - F.col("quota")
+    starts = leaves.select("sid", start.alias("at"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("turn"), "shard")
+    at = F.row_number().over(Window.partitionBy("sid").orderBy("turn", F.xxhash64(F.lit(mix.seed), "sid", "turn", "block"), "block")).cast("long") - 1
+    dealt = draws.select("sid", at.alias("at"), "block", "turn", F.lit(None).cast("long").alias("shard")).unionByName(starts)
+    shard = F.last("shard", ignorenulls=True).over(Window.partitionBy("sid").orderBy("at", F.col("shard").isNull()))
+    owned = dealt.select("sid", "block", "turn", shard.alias("shard")).where("block is not null")
+    return Plan(sources, written(owned.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("draws")), "owned"), int(shards))
+
+
+def drawn(rows: DataFrame, made: Plan) -> DataFrame:
+    """rows (of `sized`) with source_size, target and draws: array of (turn, shard), one element a copy."""
+    blocked = with_block(rows, made.sources)
+    draws = F.broadcast(made.draws) if made.draws.count() <= SMALL else made.draws
+    none = F.array().cast(made.draws.schema["draws"].dataType)
+    return blocked.join(draws, ["sid", "block"], "left").withColumn("draws", F.coalesce("draws", none))
+
+
+def dealt(rows: DataFrame, made: Plan, mix: Mix) -> DataFrame:
+    """(row, name, key, size, shard, copy): a row a copy, dealt to its shard and shuffled within it."""
+    copies = drawn(rows, made).select("row", "name", "key", "size", F.explode("draws").alias("draw"))
+    out = copies.select("row", "name", "key", "size", F.col("draw.shard").alias("shard"), F.col("draw.turn").alias("copy"))
+    parts = min(made.shards, 20_000)  # shards beyond that share a task, one after another
+    return out.repartition(parts, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(mix.seed), "key", "copy", "shard"))
+
+
+def mixed_rows(docs: DataFrame, mix: Mix = Mix(), text: str = "text") -> DataFrame:  # noqa: B008
+    """The mixed corpus as (row: struct of docs' columns, shard, copy), laid out by shard and shuffled within it."""
+    made = plan(written(sized(docs, mix, text, []).drop("row"), "sizes"), mix)
+    return dealt(sized(docs, mix, text), made, mix).select("row", "shard", "copy")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
-    """The mixed corpus: a row a copy, laid out by shard and shuffled within it; columns of docs plus shard and copy."""
-    rows = sized(docs, mix)
-    by_source = plan(rows.select("source", "size", "block"), mix)
-    copies = drawn(rows, by_source, mix).withColumn("_d", F.explode("draws"))
-    out = copies.select(*(c for c in docs.columns if c not in ("shard", "copy")), F.col("_d.shard").alias("shard"), F.col("_d.pass").alias("copy"))
-    key = F.xxhash64(F.lit(mix.seed), *(c for c in ("doc_id", "text") if c in docs.columns), F.col("copy"), F.col("shard"))
-    return out.repartition("shard").sortWithinPartitions("shard", key)
+    """The mixed corpus: columns of docs plus shard and copy."""
+    return mixed_rows(docs, mix).select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "copy")), "shard", "copy")

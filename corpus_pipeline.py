@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and its decisions take effect.
 All but the last return the columns of documents; the last returns tokens. Stages are written as Parquet and read
 again, so each is recovered from files.
+
+Cases, for every stage: docs has doc_id, text and source at least; any other column, whatever its name, passes as it is (n_chars
+follows a changed text). A null text is an empty one, and stays null where the row stays. Texts are read whole at any length. An
+empty table gives an empty table of the same columns. Null doc_id and repeated rows: see each stage.
 """
 
 from __future__ import annotations
@@ -15,7 +19,8 @@ from strataline.llm import bpe, common, jaccard, mixing, q_bpe, q_mixing, qualit
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the label model and the base rules keep; a row stays or goes by its own text.
+    """Documents that the label model and the base rules keep; a row stays or goes by its own text, so repeated rows stay or go
+    together; null and empty texts have no words and go.
 
     Measures are taken twice, once to fit the model and once beside the text, which is cheaper than a copy of all texts.
     """
@@ -39,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret, of the patterns or the network, replaced by a mark; n_chars follows the text."""
+    """Every secret, of the patterns or the network, replaced by a mark; n_chars follows the text. Rows stay, each by itself."""
     common.ready(spark)
     found = common.written(secrets.findings(docs, ["doc_id"]), "findings")
     clean = secrets.redacted(docs, secrets.trained(secrets.sample(found)))
@@ -47,13 +52,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: a row a copy that the mix takes, in shards, shuffled within each."""
+    """The mixed corpus: a row a copy that the mix takes, in shards, shuffled within each. A null source is a source; repeated rows
+    are taken together; a row without words takes part in full passes."""
     common.ready(spark)
-    return mixing.mixed(docs, q_mixing.MIX).select(*docs.columns)
+    return mixing.mixed_rows(docs, q_mixing.MIX).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, decoded again for the digest."""
+    """Token ids of every row, decoded again for the digest: doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids. A row without
+    text has no token; repeated rows have a row each."""
     common.ready(spark)
     ranks = q_bpe.rank_bytes()
     coded = bpe.encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, out="decoded")

@@ -80,12 +80,54 @@ def test_tokens_are_those_of_the_library(stages):
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(before[r.doc_id].encode()).hexdigest()
 
 
-def test_stages_take_nulls_repeats_and_nothing(spark):
-    rows = [(None, None, None, None, None), (None, "a b", "en", "s", 3), (1, "token = abcdef123456 " + "the cat is on the mat. " * 1, "en", None, 9), (2, " ".join(f"w{k} of the" for k in range(60)) + ".", "en", "s", 9), (2, " ".join(f"w{k} of the" for k in range(60)) + ".", "en", "s", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            result = stage(spark, frame, SF)
-            assert result.count() >= 0
-    once = corpus_pipeline.near_duplicates(spark, docs, SF)
-    assert sorted(r.doc_id or 0 for r in once.collect()) == [0, 0, 1, 2]
+NAMES = ["doc_id", "text", "lang", "source", "n_chars", "quality", "length", "_votes", "n_words", "size", "target", "key", "row", "name", "shard", "copy", "draws", "base", "open", "spans", "n", "d1", "component_id", "token_ids", "decoded"]
+def good(name):
+    return " ".join(f"{name}{k} {'the of and in'.split()[k % 4]}" for k in range(90)) + "."
+
+
+LONG = " ".join(f"{'the of and in'.split()[k % 4]} x{k * 7919 % 30011}" for k in range(60_000)) + "."
+SECRET = good("bird") + " token = abcdef123456 and so on."
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, repeats, an empty and a very long text, and columns with names of ours."""
+    rows = [(None, None, None, None), (None, "a b", "en", "s"), (1, SECRET, "en", None), (2, good("dog"), "en", "s"), (2, good("dog"), "en", "s"), (3, "", None, "s"), (4, LONG, "en", "t"), (None, good("cow"), None, None)]
+    types = ", ".join(f"{n} {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in NAMES)
+    return spark.createDataFrame([(*r, *(100 + k for k in range(len(NAMES) - 4))) for r in rows], types)
+
+
+def values(frame):
+    return sorted(((r.doc_id or 0, r.text or "") for r in frame.collect()), key=str)
+
+
+def unchanged(frame):
+    assert frame.columns == NAMES
+    for r in frame.collect():
+        assert list(r)[5:] == [100 + k for k in range(1, len(NAMES) - 4)]
+
+
+def test_stages_take_odd_rows(spark, odd):
+    kept = corpus_pipeline.common.written(corpus_pipeline.quality_rules(spark, odd, SF), "test")
+    unchanged(kept)
+    assert values(kept) == sorted([(0, good("cow")), (1, SECRET), *[(2, good("dog"))] * 2, (4, LONG)], key=str)
+    once = corpus_pipeline.common.written(corpus_pipeline.near_duplicates(spark, odd, SF), "test")
+    unchanged(once)
+    assert values(once) == sorted([(0, ""), (0, "a b"), (0, good("cow")), (1, SECRET), (2, good("dog")), (3, ""), (4, LONG)], key=str)
+    clean = corpus_pipeline.common.written(corpus_pipeline.secret_scan(spark, odd, SF), "test")
+    unchanged(clean)
+    assert values(clean) == sorted([(r[0], r[1].replace("token = abcdef123456", "[secret]")) for r in values(odd)], key=str)
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in clean.collect())
+    mixed = corpus_pipeline.common.written(corpus_pipeline.mix(spark, odd, SF), "test")
+    unchanged(mixed)
+    assert set(values(mixed)) <= set(values(odd)) and sum(r.doc_id == 2 for r in mixed.collect()) % 2 == 0
+    theirs = tiktoken.Encoding("own", pat_str=q_bpe.public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(q_bpe.rank_bytes()), special_tokens={})
+    got = corpus_pipeline.tokens(spark, odd, SF).collect()
+    assert sorted((r.doc_id or 0, r.ids) for r in got) == sorted((d, theirs.encode_ordinary(t)) for d, t in values(odd))
+
+
+def test_stages_take_nothing(spark, odd):
+    docs = odd.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.collect() == [] and (k == 4 or out.columns == NAMES)

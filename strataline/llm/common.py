@@ -12,13 +12,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ready
+from .. import session
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of rows handed to a Python worker at once. Spark's own 64 MB would stand several times in an executor: in the JVM's
+#: buffers of each running task and, as Arrow and as Python objects, in its workers.
+BATCH_BYTES = "8m"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, with this package on its workers and batches for them bounded, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, BATCH_BYTES)
+    return session.ready(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

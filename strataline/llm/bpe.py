@@ -8,7 +8,8 @@ its runs are told apart after no more bytes than the longest token has.
 
 `Transducer` determinises it while it reads: a deterministic state holds the runs still possible,
 without the tokens that all of them begin with; these have been emitted. A step is built when it is
-met for the second time. States and steps are kept in a table of bounded size, which starts anew when full.
+met for the second time. States and steps are kept in a table of bounded size; when it is full, what is off it is followed run by
+run, and after many such pieces it starts anew, so it keeps to what is frequent now.
 
 Cases: null text is empty text and gives no token; texts and words of any length take time in
 proportion; repeated rows and clashing column names are left as they are (columns are added or
@@ -52,7 +53,7 @@ _MET = ((), ())
 class Transducer:
     """Encodes one piece of text (a match of the split pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 400_000, short: int = 48):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 300_000, renew: int = 4_000_000, short: int = 48):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.below: list[dict[int, int]] = [{}]
@@ -67,34 +68,73 @@ class Transducer:
                     self.token_at.append(-1)
                 node = then
             self.token_at[node] = rank
-        self.max_states, self.max_pairs, self.short = max_states, max_pairs, short
+        self.max_states, self.max_pairs, self.renew, self.short = max_states, max_pairs, renew, short
         self._pairs: dict[int, bool] = {}
+        self._split: dict = {}
         self._reset()
 
     def _reset(self) -> None:
         self._states: dict = {}
+        self.full, self._missed = False, 0
         if not gc.isenabled():
             gc.collect()  # states may point at each other
         self._start = self._states[-1, (((), 0),)] = _State(-1, (((), 0),))
 
-    def _merged(self, piece: bytes) -> list[int]:
-        """The merges applied to a short piece in the order of their ranks."""
+    def _merged(self, piece: bytes, below: int = 1 << 60) -> list[bytes]:
+        """The merges of rank under `below` applied to a short piece in the order of their ranks."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[x] for x in parts]
+        return parts
+
+    def _halves(self, token: int) -> tuple[bytes, bytes] | None:
+        """The two tokens whose merge makes a token, None for a single byte; False if merges don't make it, or not from lower ranks."""
+        found = self._split.get(token, 0)
+        if found == 0:
+            raw = self.bytes_of[token]
+            parts = self._merged(raw, token)
+            found = None if len(raw) == 1 else (parts[0], parts[1]) if len(parts) == 2 and max(self._rank(x) for x in parts) < token else False
+            self._split[token] = found
+        return found
+
+    def _rank(self, part: bytes) -> int:
+        """When a part is made: its rank, single bytes before all merges."""
+        return -1 if len(part) == 1 else self.ranks.get(part, 1 << 60)
 
     def _may_follow(self, u: int, v: int) -> bool:
-        """Whether v may be emitted after u (-1: first)."""
+        """Whether v may be emitted after u (-1: first).
+
+        Going back through the merges that made u and v, the last part of u and the first of v stand side by side from when
+        both are made until one is merged on. A merge of the two with a rank before that would join u and v.
+        """
         if len(self._pairs) >= self.max_pairs:
             self._pairs.clear()
-        both = (b"" if u < 0 else self.bytes_of[u]) + self.bytes_of[v]
-        found = self._pairs[u << 32 | v] = self._merged(both) == ([v] if u < 0 else [u, v])
+        alone = self._halves(v) is not False or self._merged(self.bytes_of[v]) == [self.bytes_of[v]]
+        found = self._pairs[u << 32 | v] = alone and (u < 0 or self._apart(u, v))
         return found
 
+    def _apart(self, u: int, v: int) -> bool:
+        left, right, left_ends, right_ends = self.bytes_of[u], self.bytes_of[v], 1 << 60, 1 << 60
+        ranks = self.ranks
+        while True:
+            joined = ranks.get(left + right)
+            if joined is not None and joined < left_ends and joined <= right_ends:
+                return False
+            made, other = self._rank(left), self._rank(right)
+            if made < 0 and other < 0:
+                return True
+            halves = self._halves(made if made > other else other)
+            if halves is False:  # merges out of order: apply them
+                both = self.bytes_of[u] + self.bytes_of[v]
+                return self._merged(both) == [self.bytes_of[u], self.bytes_of[v]]
+            if made > other:
+                left, left_ends = halves[1], made
+            else:
+                right, right_ends = halves[0], other
+
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Build the step from a state for one byte."""
         below, token_at, pairs = self.below, self.token_at, self._pairs
@@ -127,34 +167,36 @@ class Transducer:
         key = (last if any(not pending for pending, _ in runs) else -1, tuple(runs))
         found = self._states.get(key)
         if found is None:
-            if len(self._states) >= self.max_states:
-                self._reset()
-            found = self._states[key] = _State(*key)
+            found = _State(*key)
+            if self.full:  # used once, not kept
+                return found, emitted
+            self._states[key] = found
+            self.full = len(self._states) >= self.max_states
         then = state.steps[byte] = (found, emitted)
         return then
 
     def _run_on(self, state: _State, rest: bytes) -> tuple[int, ...]:
         """The tokens from a state to the end of a short rest, without building states."""
-        below, token_at, pairs, last = self.below, self.token_at, self._pairs, state.last
-        runs = state.runs
+        below, token_at, fitting = self.below, self.token_at, self._pairs.get
+        runs = [(pending, pending[-1] if pending else state.last, node) for pending, node in state.runs]
         for byte in rest:
             then, ended = [], None
-            for pending, node in runs:
+            for pending, u, node in runs:
                 node = below[node].get(byte)
                 if node is None:
                     continue
-                token = token_at[node]
-                if token >= 0 and ended is None:
-                    u = pending[-1] if pending else last
-                    fits = pairs.get(u << 32 | token)
-                    if self._may_follow(u, token) if fits is None else fits:
-                        ended = (*pending, token)
+                if ended is None:
+                    token = token_at[node]
+                    if token >= 0:
+                        fits = fitting(u << 32 | token)
+                        if self._may_follow(u, token) if fits is None else fits:
+                            ended = ((*pending, token), token, 0)
                 if below[node]:
-                    then.append((pending, node))
+                    then.append((pending, u, node))
             if ended is not None:
-                then.append((ended, 0))
+                then.append(ended)
             runs = then
-        if not runs or runs[-1][1]:
+        if not runs or runs[-1][2]:
             raise ValueError("a byte of the text is in no token")
         return runs[-1][0]
 
@@ -165,15 +207,21 @@ class Transducer:
         state, out, short = self._start, [], len(piece) <= self.short
         for k, byte in enumerate(piece):
             steps = state.steps
-            if steps is None:
-                steps = state.steps = {}
-            step = steps.get(byte)
-            if step is None:
-                if short:  # a step is built when it is met again: most are not
-                    steps[byte] = _MET
+            step = None if steps is None else steps.get(byte)
+            if step is None or step is _MET:
+                if short and (step is None or self.full):  # a step is built when it is met again: most are not
+                    if not self.full:
+                        if steps is None:
+                            state.steps = {byte: _MET}
+                        else:
+                            steps[byte] = _MET
+                    else:
+                        self._missed += 1
+                        if self._missed >= self.renew:
+                            self._reset()
                     return (*out, *self._run_on(state, piece[k:]))
-                step = self._step(state, byte)
-            elif step is _MET:
+                if steps is None:
+                    state.steps = {}
                 step = self._step(state, byte)
             state = step[0]
             if step[1]:
@@ -190,7 +238,7 @@ class Encoder:
     When the newer table is full it becomes the older one; what is met there again moves up.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 60_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.max_pieces = max_pieces

@@ -1,13 +1,14 @@
 """License scans with a positional rare-token index, by DataFrame functions alone.
 
-The index holds, for each word of the licence templates, its postings (template, place). The corpus gives each
-word's document frequency over all documents. A document is looked up by its licence words of highest IDF, of each template
-with `apart`, else of all together, where one template's words can take another's places: each
-occurrence of these anchors meets its postings, and place in the document less place in the template is the offset at which that
-template would stand. Offsets that several anchors agree on are aligned: the template is compared word by word there, and
-it counts where the share of its words reaches `least` and its mandatory key phrases stand whole at their places.
+A template has mandatory key phrases, which must stand whole in their places wherever it counts. The index holds, for each
+template, the places of its `anchors` mandatory words of highest IDF, counted over all documents: word -> postings
+(template, place). Each occurrence of such a word in a document meets its postings, and place in the document less place in
+the template is the offset at which that template would stand. Offsets on which all of a template's anchors agree are aligned:
+its key phrases are verified, the template is compared word by word, and it counts where the share of its words reaches
+`least`. As a template's own mandatory words stand in every place where it counts, nothing else in a text can hide it: the
+findings are all (template, offset) with whole key phrases and enough coverage, however the index is chosen.
 
-Phrases (base) are templates of their own whose words must all stand.
+Phrases (base) are sought likewise; all their words must stand.
 
 Cases: null and empty texts have no words; long texts are read whole; repeated rows are told apart by nothing and give
 equal rows; a null doc_id is kept; an empty table gives an empty table; other columns are ignored.
@@ -39,33 +40,46 @@ class Template:
     keys: tuple[str, ...]
 
 
-# Notices as they stand in files, in own short form; a label each.
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0}general public license as published by the free software foundation either version {1} of the license or at your option any later version"
+_CC = "this work is licensed under a creative commons attribution {0}4 0 international license"
+
+# Notices as they stand in files, and short forms that are their own key phrase; a label each. Fixed values, lower case, words alone.
 TEMPLATES = (
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    *(Template(f"gpl-{v}.0", text, (key,)) for v in (2, 3) for text, key in [
+        (_GPL.format("", v), f"general public license as published by the free software foundation either version {v}"),
+        (f"gnu general public license version {v}", f"gnu general public license version {v}"),
+        (f"gnu general public license v{v}", f"gnu general public license v{v}"),
+    ]),
+    Template("lgpl-2.1", _GPL.format("lesser ", "2 1"), ("lesser general public license as published by the free software foundation either version 2 1",)),
+    Template("lgpl-3.0", _GPL.format("lesser ", "3"), ("lesser general public license as published by the free software foundation either version 3",)),
+    Template("agpl-3.0", _GPL.format("affero ", "3"), ("affero general public license as published by the free software foundation either version 3",)),
+    Template("apache-2.0", "apache license version 2 0", ("apache license version 2 0",)),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("you may not use this file except in compliance with the license",)),
     Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee is hereby granted",)),
+    Template("cc-by-nc-4.0", "cc by nc 4 0", ("cc by nc 4 0",)),
+    Template("cc-by-sa-4.0", "cc by sa 4 0", ("cc by sa 4 0",)),
+    Template("cc-by-4.0", "cc by 4 0", ("cc by 4 0",)),
+    Template("cc-by-nc-4.0", _CC.format("noncommercial "), ("creative commons attribution noncommercial 4 0",)),
+    Template("cc-by-sa-4.0", _CC.format("sharealike "), ("creative commons attribution sharealike 4 0",)),
+    Template("cc-by-4.0", _CC.format(""), ("creative commons attribution 4 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
-)
+)
 
 
 @dataclass(frozen=True)
 class Scan:
-    """anchors: words of highest IDF looked up in a document; apart: so many (two at least) of each template; least: share of a template's words that must stand."""
+    """anchors: mandatory words of highest IDF that are looked up, of each template; least: share of a template's words that must stand."""
 
-    anchors: int = 16
+    anchors: int = 2
     least: float = 0.7
     templates: tuple[Template, ...] = TEMPLATES
-    apart: bool = False
 
 
-def based(docs: DataFrame, text: str = "text") -> DataFrame:
+def based(docs: DataFrame, scan: Scan, text: str = "text") -> DataFrame:
     """docs' doc_id with words (array, only where a licence could stand), n_words and the base findings.
 
     Phrases are sought in strings; only documents with one, or with a template's key phrase, are split into words.
@@ -73,13 +87,16 @@ def based(docs: DataFrame, text: str = "text") -> DataFrame:
     c = F.col
     rows = docs.select("doc_id", ascii_lower(F.coalesce(text, F.lit(""))).alias("lower"))
     rows = rows.withColumn("n_words", F.regexp_count("lower", F.lit(WORD)).cast("long"))
-    return rows.withColumn("words", F.when(c("lower").rlike(_hints()), F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)))).drop("lower")
+    return rows.withColumn("words", F.when(c("lower").rlike(_hints(scan)), F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)))).drop("lower")
+
+
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
-def _hints() -> str:
-    """Matches every text in which a phrase or a key phrase of any template may stand: its two first words, side by side."""
-    pairs = sorted({tuple(p.split()[:2]) for p in [*(p for p, _ in PHRASES), *(k for t in TEMPLATES for k in t.keys)]})
-    return "|".join(rf"{a}[\x00-\x2F\x3A-\x60\x7B-\x7F]+{b}" for a, b in pairs)
+def _hints(scan: Scan) -> str:
+    """Matches every text in which a phrase or a key phrase of any template may stand: its two first words, whole and side by side."""
+    pairs = sorted({tuple(p.split()[:2]) for p in [*(p for p, _ in PHRASES), *(t.keys[0] for t in scan.templates)]})
+    return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(f'{_BREAK}+'.join(x) for x in pairs)})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
 
 def places(words: Column | str, phrase: str) -> Column:
@@ -98,11 +115,17 @@ def _stands(words: Column, at: Column, parts: list[str]) -> Column:
     return found
 
 
-def index(scan: Scan) -> dict[str, list[tuple[int, int]]]:
-    """word -> postings (template, place)."""
+def mandatory(template: Template) -> list[tuple[str, int]]:
+    """(word, place) of a template's key phrases."""
+    words = template.text.split()
+    return sorted({(words[k], k) for key in template.keys for k in range(_at(template.text, key), _at(template.text, key) + len(key.split()))}, key=lambda x: x[1])
+
+
+def index(scan: Scan, idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """word -> postings (template, place) of the templates' anchors."""
     out: dict[str, list[tuple[int, int]]] = {}
     for t, template in enumerate(scan.templates):
-        for k, w in enumerate(template.text.split()):
+        for w, k in sorted(mandatory(template), key=lambda x: (-idf[x[0]], x))[: scan.anchors]:
             out.setdefault(w, []).append((t, k))
     return out
 
@@ -111,7 +134,7 @@ def scanned(docs: DataFrame, scan: Scan = Scan(), text: str = "text") -> DataFra
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and found:
     array<struct<label, at, coverage>> of the method's findings."""
     c = F.col
-    rows = based(docs, text)
+    rows = based(docs, scan, text)
     candidate = F.when(c("words").isNotNull(), _method(scan, _idf(docs, scan, text)))
     hits = [(places("words", p), label) for p, label in PHRASES]
     rows = rows.withColumns({f"_p{k}": F.when(c("words").isNotNull(), h) for k, (h, _) in enumerate(hits)})
@@ -126,11 +149,11 @@ def scanned(docs: DataFrame, scan: Scan = Scan(), text: str = "text") -> DataFra
 
 
 def _idf(docs: DataFrame, scan: Scan, text: str) -> dict[str, float]:
-    """Inverse document frequency of the index's words over all documents, in the order of the index.
+    """Inverse document frequency of the templates' mandatory words over all documents.
 
-    One row with a count for each word of the templates comes back.
+    One row with a count for each of these words comes back.
     """
-    words = sorted(index(scan))
+    words = sorted({w for t in scan.templates for w, _ in mandatory(t)})
     lower = docs.select(ascii_lower(F.coalesce(text, F.lit(""))).alias("lower"))
     distinct = lower.select(F.array_intersect(F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)), F.array(*map(F.lit, words))).alias("known"))
     row = distinct.agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("known", w)).alias(f"w{k}") for k, w in enumerate(words))).first()
@@ -138,13 +161,10 @@ def _idf(docs: DataFrame, scan: Scan, text: str) -> dict[str, float]:
 
 
 def _method(scan: Scan, idf: dict[str, float]) -> Column:
-    """Findings in the column words: anchors, postings at equal offsets, word-by-word alignment, key phrases."""
-    postings = index(scan)
-    ranked = sorted(idf, key=lambda w: (-idf[w], w))
-    rank = F.create_map(*(x for k, w in enumerate(ranked) for x in (F.lit(w), F.lit(k))))
-    most = max(scan.anchors, 2)
-    own = [sorted({ranked.index(w) for w in t.text.split()}) for t in scan.templates]
-    table = F.create_map(*(x for w in ranked for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w])))))
+    """Findings in the column words: anchors, postings at equal offsets, key phrases, word-by-word alignment."""
+    postings = index(scan, idf)
+    table = F.create_map(*(x for w in sorted(postings) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w])))))
+    needed = F.array(*(F.lit(min(scan.anchors, len(mandatory(t)))) for t in scan.templates))
     texts = F.array(*(F.array(*map(F.lit, t.text.split())) for t in scan.templates))
     labels = F.array(*(F.lit(t.label) for t in scan.templates))
     keys = F.array(*(F.array(*(F.struct(F.lit(_at(t.text, k)).alias("p"), F.array(*map(F.lit, k.split())).alias("words")) for k in t.keys)) for t in scan.templates))
@@ -153,27 +173,19 @@ def _method(scan: Scan, idf: dict[str, float]) -> Column:
         """Template and offset as one number, so that equal ones stand together once sorted."""
         return t.cast("long") * F.lit(1 << 33) + offset.cast("long") + F.lit(4096)
 
+    def template(q: Column) -> Column:
+        return F.shiftright(q, 33).cast("int")
+
     def aligned(words: Column, q: Column) -> Column:
-        t, offset = F.shiftright(q, 33).cast("int"), (q.bitwiseAND(F.lit((1 << 33) - 1)) - 4096).cast("int")
+        t, offset = template(q), (q.bitwiseAND(F.lit((1 << 33) - 1)) - 4096).cast("int")
         same = F.size(F.filter(F.transform(F.get(texts, t), lambda w, k: w == F.get(words, offset + k)), lambda b: b))
         verified = F.forall(F.get(keys, t), lambda k: F.when(offset + k["p"] >= 0, F.slice(words, offset + k["p"] + 1, F.size(k["words"])) == k["words"]).otherwise(False))
         return F.struct(F.get(labels, t).alias("label"), offset.alias("at"), F.when(verified, same / F.size(F.get(texts, t))).otherwise(0.0).alias("coverage"))
 
     def found(words: Column) -> Column:
-        ranked_words = F.filter(F.transform(words, lambda w, at: F.struct(rank[w].alias("rank"), at.alias("at"), w.alias("word"))), lambda x: x["rank"].isNotNull())
-        return let(ranked_words, lambda occurring: let(F.array_sort(F.array_distinct(F.transform(occurring, lambda x: x["rank"]))), lambda known: let(F.array(*(last(r, known) for r in own)), lambda lasts: placed(words, occurring, lasts))))
-
-    def last(ranks: list[int], known: Column) -> Column:
-        """The rank of a template's last anchor in a document."""
-        if not scan.apart:
-            return F.element_at(known, F.least(F.size(known), F.lit(scan.anchors)))
-        if len(ranks) <= most:
-            return F.lit(ranks[-1])
-        return F.coalesce(F.get(F.array_intersect(F.array(*map(F.lit, ranks)), known), F.lit(most - 1)), F.lit(ranks[-1]))
-
-    def placed(words: Column, occurring: Column, lasts: Column) -> Column:
-        offsets = F.array_sort(F.flatten(F.transform(occurring, lambda x: F.transform(F.filter(table[x["word"]], lambda y: x["rank"] <= F.get(lasts, y["t"])), lambda y: code(y["t"], x["at"] - y["p"])))))
-        agreed = let(offsets, lambda every: F.array_distinct(F.filter(every, lambda q, k: q == F.get(every, k + 1))))
+        met = F.filter(F.transform(words, lambda w, at: F.struct(table[w].alias("postings"), at.alias("at"))), lambda x: x["postings"].isNotNull())
+        offsets = F.array_sort(F.flatten(F.transform(met, lambda x: F.transform(x["postings"], lambda y: code(y["t"], x["at"] - y["p"])))))
+        agreed = let(offsets, lambda every: F.array_distinct(F.filter(every, lambda q, k: q == F.get(every, k + F.get(needed, template(q)) - 1))))
         return F.filter(F.transform(agreed, lambda q: aligned(words, q)), lambda f: f["coverage"] >= scan.least)
 
     return let(F.col("words"), found)

@@ -1,7 +1,5 @@
-import math
 import random
 import re
-from collections import Counter
 
 from strataline.llm import licenses
 from strataline.llm.q_licenses import op9_license_scan
@@ -11,26 +9,20 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def plain(docs, scan=licenses.Scan()):
-    """Every column by loops over words, with IDF over all documents."""
+    """Every column by loops over words: each template tried at every place, without an index."""
     words = {d: WORD.findall((t or "").translate(LOWER)) for d, t in docs.items()}
-    postings = licenses.index(scan)
-    df = Counter(w for ws in words.values() for w in set(ws) if w in postings)
-    idf = {w: math.log((len(docs) + 1) / (df[w] + 1)) + 1 for w in postings}
-    ranked = sorted(idf, key=lambda w: (-idf[w], w))
     out = {}
     for d, ws in words.items():
         base = [(k, label) for p, label in licenses.PHRASES for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
-        anchors = set([w for w in ranked if w in set(ws)][: scan.anchors])
-        votes = Counter((t, k - p) for k, w in enumerate(ws) if w in anchors for t, p in postings[w])
         found = []
-        for (t, at), n in votes.items():
-            template = scan.templates[t].text.split()
-            if n < 2:
-                continue
-            same = sum(0 <= at + k < len(ws) and ws[at + k] == w for k, w in enumerate(template))
-            keys = all(at + licenses._at(scan.templates[t].text, key) >= 0 and ws[at + licenses._at(scan.templates[t].text, key) :][: len(key.split())] == key.split() for key in scan.templates[t].keys)
-            if keys and same / len(template) >= scan.least:
-                found.append((scan.templates[t].label, at, same / len(template)))
+        for t in scan.templates:
+            template = t.text.split()
+            parts = [(licenses._at(t.text, key), key.split()) for key in t.keys]
+            for at in range(-parts[0][0], len(ws)):
+                if all(at + p >= 0 and ws[at + p : at + p + len(key)] == key for p, key in parts):
+                    same = sum(0 <= at + k < len(ws) and ws[at + k] == w for k, w in enumerate(template))
+                    if same / len(template) >= scan.least:
+                        found.append((t.label, at, same / len(template)))
         starts = [k for k, _ in base]
         labels = sorted({label for _, label in base} | {f[0] for f in found})
         score = max([0.5 * bool(base), *(f[2] for f in found)])
@@ -50,7 +42,7 @@ def test_against_loops(spark):
         filler = " ".join(rng.choice(["the", "of", "word", "é", "license", "under", "a", "is", "free", "permission"]) for _ in range(rng.randint(0, 60)))
         cut = " ".join(rng.choice(texts).split()[: rng.randint(1, 30)]) if rng.random() < 0.5 else rng.choice(texts)
         docs[k] = filler + ". " + (cut if rng.random() < 0.8 else "") + rng.choice(["", " ", ". end", " " + rng.choice(texts)])
-    docs |= {150: None, 151: "", 152: "the mit license " * 5000, 153: "version 2 0 " * 4000}
+    docs |= {150: None, 151: "", 152: "the mit license " * 5000, 153: "version 2 0 " * 4000, 154: "submit licenses", 155: "xmit licenses soon", 156: "mit licenses", 157: ". ".join(texts[:-7]), 158: "permit licensed under cc bye"}
     frame = spark.createDataFrame([(k, v, "x") for k, v in docs.items()], "doc_id long, text string, labels string")
     assert rows(licenses.scanned(frame)) == plain(docs)
 
@@ -61,7 +53,7 @@ def test_notices_beside_words_of_other_templates(spark):
     words = " ".join(sorted({w for t in every for w in t.split()}))
     docs = {0: ". ".join(every), **{k + 1: f"{words}. {t}. {words}" for k, t in enumerate(every)}}
     frame = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
-    got = {r.doc_id: r for r in licenses.scanned(frame, licenses.Scan(apart=True)).collect()}
+    got = {r.doc_id: r for r in licenses.scanned(frame).collect()}
     assert {f["label"] for f in got[0].found if f["coverage"] == 1} == {t.label for t in licenses.TEMPLATES}
     for k, t in enumerate(licenses.TEMPLATES):
         assert (t.label, 1.0) in {(f["label"], f["coverage"]) for f in got[k + 1].found}

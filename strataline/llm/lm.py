@@ -1,15 +1,20 @@
 """LM scoring: exact unigram counts, and a log-bilinear model trained with noise-contrastive estimation.
 
-1. Coding. Each task turns its documents into blocks: a block has its own sorted vocabulary and its tokens as numbers in it.
-   Texts are read once; blocks are a table in the shared folder.
-2. Counts. Vocabularies with counts of training tokens are summed over all blocks by word; words flow back to
-   their blocks with the global count and the word's place on the shortlist (the `shortlist` most frequent words).
-3. Training. The model has a vector for each shortlisted word as context, one as target, a weight for each of two context
-   places, and a bias that starts at the unigram. Each task runs one pass of noise-contrastive estimation over all
-   training tokens of its blocks, from the same start; the parameters are averaged by tokens, summed in two steps.
-4. Scoring. Batched matrix products give the normaliser of every pair of contexts once (shortlist squared, a fixed
-   size); a token's log-probability is its score less that. A word off the shortlist has the class's probability
-   times its share of the class, so probabilities sum to one over known words and one for all unknown.
+1. Coding. Documents are dealt to lanes by a hash of what they hold and sorted there, so what follows doesn't depend on how rows
+   were partitioned. Each task turns its lane into blocks: a block has its own vocabulary and its tokens as numbers in it.
+2. Counts. A block's vocabulary goes to buckets of words, a packed row a block and bucket; a bucket's task adds up its words and
+   sends every block the totals of its own. Where there are many blocks they are added up in groups first, so that a word which
+   stands in every block never has more than `group` places in one task.
+3. Training. The words of count `least` and more, the `vocabulary` most frequent ones at most, have a vector as context and one
+   as target; they are cut into classes by frequency, and all other words share a class. P(word | context) is
+   P(class | context) P(word | class, context), both log-bilinear in the two words before, each with its bias. Each block runs one pass
+   of noise-contrastive estimation over all its training tokens from the same start (noise classes for the first factor, noise
+   words of the same class for the second), and the blocks' parameters are averaged, each word's by how often it stands there.
+4. Scoring. Batched matrix products give the normaliser of the classes for each pair of contexts met in a block, and that of the
+   words of a class for each token; probabilities sum to one over known words and one for all unknown. A word without a vector
+   has its class's probability times its share of the class by count.
+
+What is broadcast and what each task sends to be averaged has the size of the vocabulary with vectors, 36 numbers a word.
 
 Cases: null and empty texts are one end token; texts of any length are whole; a null doc_id trains and is scored (it is
 not held out); repeated rows count each time; with no training token every word is unknown; an empty table gives an empty
@@ -18,19 +23,18 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
-import copy
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import slices, utf8, written
 
 #: The token that ends a text; no word holds a blank.
 END = b" "
@@ -38,14 +42,22 @@ END = b" "
 
 @dataclass(frozen=True)
 class Settings:
-    """shortlist: words with vectors; width of vectors; noise words of a batch; block: bytes of text of a block, at most, or one document."""
+    """vocabulary: words with vectors, at most, of count `least` or more; width of vectors; noise: noise classes of a batch;
+    block: bytes of text of a block, at most, or one document; lane: documents of a lane; bucket: places of words in a bucket;
+    group: blocks that are added up together; train: tokens of a training task."""
 
-    shortlist: int = 768
+    vocabulary: int = 8192
+    least: int = 5
     width: int = 16
     noise: int = 48
-    batch: int = 4096
+    own_noise: int = 2
+    batch: int = 8192
     rate: float = 0.15
     block: int = 6 << 20
+    lane: int = 8192
+    bucket: int = 500_000
+    group: int = 4096
+    train: int = 8_000_000
     modulus: int = 7
     held_out: int = 2
     seed: int = 29
@@ -56,7 +68,7 @@ def is_held_out(doc_id: int | None, settings: Settings) -> bool:
 
 
 def _block(ids: list, texts: list[bytes], settings: Settings) -> tuple:
-    """Documents as (ids, held out, lengths, codes, words, counts in training texts)."""
+    """Documents as (ids, held out, lengths, codes, words by code, counts in training texts)."""
     tokens: list[bytes] = []
     lengths = []
     for text in texts:
@@ -71,137 +83,265 @@ def _block(ids: list, texts: list[bytes], settings: Settings) -> tuple:
     return ids, held, np.array(lengths, np.int64), codes, list(place), np.bincount(codes[training], minlength=len(place))
 
 
-def blocks(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:  # noqa: B008
-    """Coded blocks of documents. A block's key is a 64-bit digest of all it holds; equal blocks share it and what is looked up by it."""
+def laned(docs: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
+    """(doc_id, text) in lanes by a hash of both, sorted by it: the same rows in the same order for any partitioning."""
+    lanes = min(max(1, -(-docs.count() // settings.lane)), 100_000)
+    keyed = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("key"))
+    return keyed.repartition(lanes, "key").sortWithinPartitions("key", "doc_id").select("doc_id", "text")
+
+
+def blocks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Coded blocks of documents (doc_id, text), each task's in the order of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[bytes] = []
-        size = 0
+        size, made = 0, TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
             i, held, lengths, codes, words, counts = _block(ids, texts, settings)
-            key = xxhash.xxh3_64_intdigest(repr(ids).encode() + codes.tobytes() + END.join(words)) - (1 << 63)
-            vocabulary = pa.array([[{"word": w, "count": int(c)} for w, c in zip(words, counts, strict=True)]], pa.list_(pa.struct([pa.field("word", pa.binary(), False), pa.field("count", pa.int64(), False)])))
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([i], pa.list_(pa.int64())), pa.array([held.tolist()]), pa.array([lengths.tolist()]), pa.array([codes.tobytes()], pa.binary()), vocabulary], names=["block", "ids", "held", "lengths", "codes", "vocabulary"])
+            columns = [pa.array([made], pa.int64()), pa.array([i], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary()), pa.array([b"\n".join(words)], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([int(counts.sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "lengths", "codes", "words", "counts", "n_words", "training"])
 
-        for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8(batch.column(text)), strict=True):
+        for batch in (part for whole in batches for part in slices(whole)):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
                 if ids and size + len(raw) > settings.block:
                     yield flush()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, made = [], [], 0, made + 1
                 ids.append(doc)
                 texts.append(raw)
                 size += len(raw) + 1
         if ids:
             yield flush()
 
-    return docs.select("doc_id", text).mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, codes binary, vocabulary array<struct<word:binary,count:long>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, ids array<long>, held array<boolean>, lengths array<long>, codes binary, words binary, counts binary, n_words long, training long")
 
 
-def counts(coded: DataFrame) -> DataFrame:
-    """(word, count) over all training tokens."""
-    return coded.select(F.explode("vocabulary").alias("v")).where("v.count > 0").groupBy("v.word").agg(F.sum("v.count").alias("count"))
+def _bucket_order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a vocabulary by bucket, and where buckets 0, 1, ... begin in it."""
+    bucket = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)).astype(np.int64) * buckets >> 32
+    return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
 
 
-def facts(coded: DataFrame, counted: DataFrame, places: DataFrame) -> DataFrame:
-    """Blocks with, by local code, the global count and the class (0: off the shortlist, else the place on it from 1).
+_PACKED = "bucket long, member long, words binary, counts binary"
 
-    Words meet their counts by shuffling each block's vocabulary, once a word and block, not once a token. Code and class
-    travel as one number.
-    """
-    local = coded.select("block", F.posexplode("vocabulary").alias("code", "v")).select("block", "code", F.col("v.word").alias("word"))
-    known = counted.join(F.broadcast(places), "word", "left")
-    packed = F.coalesce(F.col("place") + 1, F.lit(0)).cast("long") * F.lit(1 << 32) + F.col("code")
-    met = local.join(known, "word", "left").select("block", packed.alias("packed"), F.coalesce("count", F.lit(0)).alias("count"))
-    return met.groupBy("block").agg(F.collect_list(F.struct("packed", "count")).alias("facts"))
+
+def packed(coded: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, member: the block, words joined by line ends, counts) of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts = row["words"].split(b"\n"), np.frombuffer(row["counts"], np.int64)
+                order, edges = _bucket_order(words, buckets)
+                some = np.flatnonzero(np.diff(edges)).tolist()
+                parts = [order[edges[b] : edges[b + 1]] for b in some]
+                columns = [pa.array(some, pa.int64()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([b"\n".join([words[k] for k in p.tolist()]) for p in parts], pa.binary()), pa.array([counts[p].tobytes() for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "member", "words", "counts"])
+
+    return coded.select("block", "words", "counts").mapInArrow(run, _PACKED)
+
+
+def _added(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed rows: distinct words, their sums, each place's number among them, and where rows end."""
+    lists = [w.split(b"\n") for w in table.column("words").to_pylist()]
+    coded = pa.array(itertools.chain.from_iterable(lists), pa.binary()).dictionary_encode()
+    at = coded.indices.to_numpy()
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+    sums = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(sums, at, counts)
+    return coded.dictionary, sums, at, np.cumsum([len(x) for x in lists])
+
+
+_TOTALS = "bucket long, member long, totals binary, words binary, v long, n long"
+
+
+def totals(rows: DataFrame, settings: Settings, n_members: int) -> DataFrame:
+    """The global count of every place of packed rows: (bucket, member, totals); and for each bucket a row without member: its
+    distinct training words (v), their tokens (n), and words of count `least` and more with their totals."""
+
+    def final(table: pa.Table) -> pa.Table:
+        words, sums, at, ends = _added(table)
+        often = np.flatnonzero(sums >= settings.least)
+        often = often[np.argsort(-sums[often], kind="stable")]
+        parts = np.split(sums[at], ends[:-1])
+        bucket = table.column("bucket")[0].as_py()
+        n = len(parts)
+        return pa.table({
+            "bucket": pa.array([bucket] * (n + 1), pa.int64()), "member": pa.concat_arrays([*table.column("member").chunks, pa.array([None], pa.int64())]),
+            "totals": pa.array([*(p.tobytes() for p in parts), sums[often].tobytes()], pa.binary()), "words": pa.array([None] * n + [b"\n".join(words.take(pa.array(often)).to_pylist())], pa.binary()),
+            "v": pa.array([None] * n + [int((sums > 0).sum())], pa.int64()), "n": pa.array([None] * n + [int(sums.sum())], pa.int64()),
+        })
+
+    def together(table: pa.Table) -> pa.Table:
+        words, sums, _, _ = _added(table)
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "member": table.column("over").slice(0, 1), "words": pa.array([b"\n".join(words.to_pylist())], pa.binary()), "counts": pa.array([sums.tobytes()], pa.binary())})
+
+    def shared(own: pa.Table, above: pa.Table) -> pa.Table:
+        known = dict(zip(above.column("words")[0].as_py().split(b"\n"), np.frombuffer(above.column("totals")[0].as_py(), np.int64).tolist(), strict=True))
+        parts = [np.array([known[w] for w in x.split(b"\n")], np.int64).tobytes() for x in own.column("words").to_pylist()]
+        none = pa.nulls(len(parts), pa.int64())
+        return pa.table({"bucket": own.column("bucket"), "member": own.column("member"), "totals": pa.array(parts, pa.binary()), "words": pa.nulls(len(parts), pa.binary()), "v": none, "n": none})
+
+    if n_members <= settings.group:
+        return rows.groupBy("bucket").applyInArrow(final, _TOTALS)
+    over = F.pmod(F.xxhash64("member"), F.lit(-(-n_members // settings.group)))
+    rows = written(rows.withColumn("over", over), "packed")
+    grouped = written(rows.groupBy("bucket", "over").applyInArrow(together, _PACKED), "grouped")
+    found = written(totals(grouped, settings, -(-n_members // settings.group)), "totals")
+    above = grouped.join(found.where("member is not null").select("bucket", "member", "totals"), ["bucket", "member"]).select("bucket", F.col("member").alias("over"), "words", "totals")
+    own = rows.groupBy("bucket", "over").cogroup(above.groupBy("bucket", "over")).applyInArrow(shared, _TOTALS)
+    return own.unionByName(found.where("member is null"))
+
+
+def frequent(found: DataFrame, settings: Settings) -> tuple[list[tuple[bytes, int]], int, int]:
+    """The words with vectors and their counts (settings.vocabulary rows at most), distinct training words, and training tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                counts = np.frombuffer(row["totals"], np.int64)[: settings.vocabulary]
+                words = row["words"].split(b"\n")[: len(counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(words if len(counts) else [], pa.binary()), pa.array(counts)], names=["word", "count"])
+
+    stats = found.where("member is null")
+    sums = stats.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    top = stats.select("words", "totals").mapInArrow(run, "word binary, count long").orderBy(F.desc("count"), "word").limit(settings.vocabulary).collect()
+    return [(bytes(r.word), r["count"]) for r in top], sums.v or 0, sums.n or 0
+
+
+def _added_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that occur, and the sums of their rows. Places are below 2 ** 16 (sorted by digits) or sorted as they are."""
+    small = at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at
+    order = np.argsort(small, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
 
 class Model:
-    """Parameters of the log-bilinear model. Class 0 stands for all words off the shortlist; -1 as context is a text's start."""
-
-    def __init__(self, logs: np.ndarray, settings: Settings):
-        """logs: natural log unigram probabilities of the classes."""
-        rng = np.random.default_rng(settings.seed)
-        n, d = len(logs), settings.width
-        self.settings, self.logs = settings, logs
-        self.context = rng.normal(0, 0.1, (n + 1, d)).astype(np.float32)
-        self.target = rng.normal(0, 0.1, (n, d)).astype(np.float32)
+    """Parameters. Words with vectors have places 0 to n - 1 by frequency; n stands for any other word, n + 1 for a text's start.
+    Class 0 holds the other words, class 1 + place // span the rest."""
+
+    def __init__(self, counts: np.ndarray, others: int, settings: Settings):
+        """counts: of the words with vectors, most frequent first; others: training tokens without one."""
+        rng, n, d = np.random.default_rng(settings.seed), len(counts), settings.width
+        self.settings, self.n, self.span = settings, n, max(1, int(np.ceil(n**0.5)))
+        classes = np.arange(n) // self.span + 1
+        mass = np.bincount(classes, counts, minlength=1).astype(float)
+        mass[0] = others
+        self.class_logs = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
+        self.word_logs = (np.log(counts) - np.log(mass[classes])).astype(np.float32) if n else np.zeros(0, np.float32)
+        self.edges = np.concatenate([[0.0], np.cumsum(counts)])  # where words stand on the line of all their tokens
+        self.context = rng.normal(0, 0.1, (n + 2, d)).astype(np.float32)
         self.weights = np.ones((2, d), np.float32)
-        self.bias = logs.astype(np.float32).copy()
-        self.table: np.ndarray | None = None
+        self.classes = np.concatenate([rng.normal(0, 0.1, (len(mass), d)), self.class_logs[:, None]], axis=1).astype(np.float32)
+        self.words = np.concatenate([rng.normal(0, 0.1, (n, d)), self.word_logs[:, None]], axis=1).astype(np.float32)
 
-    NAMES = ("context", "target", "weights", "bias")
+    #: Vectors by word or class (the last column of classes and words is the bias), and what all share.
+    NAMES = ("context", "classes", "words", "weights")
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES]).astype(np.float64)
-
-    def with_flat(self, flat: np.ndarray) -> Model:
-        at = 0
-        for k in self.NAMES:
-            old = getattr(self, k)
-            setattr(self, k, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
-            at += old.size
-        return self
+    def class_of(self, place: np.ndarray) -> np.ndarray:
+        return np.where(place < self.n, place // self.span + 1, 0)
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.weights[0] + self.context[two] * self.weights[1]
-
-    def normalise(self) -> Model:
-        """log of the sum over targets for every pair of contexts, by matrix products of batches of pairs."""
-        n = len(self.context)
-        self.table = np.empty((n, n), np.float32)
-        for one in range(n):
-            scores = self.predicted(np.full(n, one), np.arange(n)) @ self.target.T
-            scores += self.bias
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            np.exp(scores, out=scores)
-            self.table[one] = np.log(scores.sum(axis=1)) + top
-        return self
-
-    def log_probability(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of classes; contexts: the word before, and the one before that."""
-        score = np.einsum("ij,ij->i", self.predicted(one, two), self.target[target]) + self.bias[target]
-        return score.astype(np.float64) - self.table[one, two]
-
-    def train(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rng: np.random.Generator, sums: dict) -> None:
-        """One pass of noise-contrastive estimation, noise words shared by a batch, steps scaled as Adagrad does."""
-        s = self.settings
-        p = np.exp(self.logs)
-        p /= p.sum()
-        for at in rng.permutation(np.arange(0, len(target), s.batch)).tolist():
-            a, b, t = one[at : at + s.batch], two[at : at + s.batch], target[at : at + s.batch]
-            noise = rng.choice(len(p), s.noise, p=p)
-            level = np.float32(np.log(s.noise))
-            q = self.predicted(a, b)
-            own = np.einsum("ij,ij->i", q, self.target[t]) + self.bias[t] - (self.logs[t].astype(np.float32) + level)
-            other = q @ self.target[noise].T + self.bias[noise] - (self.logs[noise].astype(np.float32) + level)
-            up = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # towards the word that stands there
-            down = -1 / (1 + np.exp(np.clip(-other, -30, 30)))  # away from noise
-            gq = up[:, None] * self.target[t] + down @ self.target[noise]
-            g = {"context": np.zeros_like(self.context), "target": np.zeros_like(self.target), "bias": np.bincount(t, up, len(self.bias)).astype(np.float32)}
-            _scatter(g["target"], t, up[:, None] * q)
-            _scatter(g["target"], noise, down.T @ q)
-            g["bias"] += np.bincount(noise, down.sum(axis=0), len(self.bias)).astype(np.float32)
-            ca, cb = self.context[a], self.context[b]
-            _scatter(g["context"], a, gq * self.weights[0])
-            _scatter(g["context"], b, gq * self.weights[1])
-            g["weights"] = np.stack([(gq * ca).sum(axis=0), (gq * cb).sum(axis=0)])
-            for k, x in g.items():
-                sums[k] = sums.get(k, 0) + x * x
-                setattr(self, k, getattr(self, k) + np.float32(s.rate) * x / np.sqrt(sums[k] + 1))
-
-
-def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Add rows at places that may repeat."""
-    order = np.argsort(at, kind="stable")
-    places, first = np.unique(at[order], return_index=True)
-    into[places] += np.add.reduceat(rows[order], first, axis=0)
+        """What the contexts predict, with a one for the bias."""
+        out = np.ones((len(one), self.settings.width + 1), np.float32)
+        np.multiply(self.context[one], self.weights[0], out=out[:, :-1])
+        out[:, :-1] += self.context[two] * self.weights[1]
+        return out
+
+    def trained(self, one: np.ndarray, two: np.ndarray, place: np.ndarray, rng: np.random.Generator) -> Model:
+        """A copy after one pass of noise-contrastive estimation, steps scaled as Adagrad does."""
+        own = Model.__new__(Model)
+        own.__dict__.update(self.__dict__)
+        for k in self.NAMES:
+            setattr(own, k, getattr(self, k).copy())
+        sums = {k: np.ones_like(getattr(own, k)) for k in self.NAMES}
+        step = own.settings.batch
+        for at in rng.permutation(np.arange(0, len(place), step)).tolist():
+            own._step(one[at : at + step], two[at : at + step], place[at : at + step], rng, sums)
+        return own
+
+    def _step(self, one: np.ndarray, two: np.ndarray, place: np.ndarray, rng: np.random.Generator, sums: dict) -> None:
+        s, d = self.settings, self.settings.width
+        q = self.predicted(one, two)
+        # classes against noise classes, shared by the batch
+        cls = self.class_of(place)
+        p = np.exp(self.class_logs.astype(float))
+        noise = rng.choice(len(p), s.noise, p=p / p.sum())
+        level = np.float32(np.log(s.noise))
+        up = _sigmoid(self.class_logs[cls] + level - np.einsum("ij,ij->i", q, self.classes[cls]))
+        down = -_sigmoid(q @ self.classes[noise].T - (self.class_logs[noise] + level))
+        gq = up[:, None] * self.classes[cls, :d] + down @ self.classes[noise, :d]
+        self._move("classes", sums, np.concatenate([cls, noise]), np.concatenate([up[:, None] * q, down.T @ q]))
+        # words against noise words of their class
+        some = np.flatnonzero(cls)
+        if len(some):
+            word, k, own = place[some], s.own_noise, q[some]
+            low, high = self.edges[(cls[some] - 1) * self.span], self.edges[np.minimum(cls[some] * self.span, self.n)]
+            others = np.searchsorted(self.edges, low + rng.random((k, len(some))) * (high - low), side="right") - 1
+            others = np.clip(others, (cls[some] - 1) * self.span, np.minimum(cls[some] * self.span, self.n) - 1)
+            level = np.float32(np.log(k))
+            up = _sigmoid(self.word_logs[word] + level - np.einsum("ij,ij->i", own, self.words[word]))
+            vectors = self.words[others]
+            down = -_sigmoid(np.einsum("ij,kij->ki", own, vectors) - (self.word_logs[others] + level))
+            gq[some] += up[:, None] * self.words[word, :d] + np.einsum("ki,kij->ij", down, vectors[:, :, :d])
+            self._move("words", sums, np.concatenate([word, others.reshape(-1)]), np.concatenate([up[:, None] * own, (down[:, :, None] * own).reshape(-1, d + 1)]))
+        ca, cb = self.context[one], self.context[two]
+        shared = np.stack([(gq * ca).sum(axis=0), (gq * cb).sum(axis=0)])
+        self._move("context", sums, np.concatenate([one, two]), np.concatenate([gq * self.weights[0], gq * self.weights[1]]))
+        sums["weights"] += shared * shared
+        self.weights = self.weights + np.float32(s.rate) * shared / np.sqrt(sums["weights"])
+
+    def _move(self, name: str, sums: dict, at: np.ndarray, rows: np.ndarray) -> None:
+        places, g = _added_rows(at, rows)
+        own, square = getattr(self, name), sums[name]
+        square[places] += g * g
+        own[places] += np.float32(self.settings.rate) * g / np.sqrt(square[places])
+
+    def class_normalisers(self, one: np.ndarray, two: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+        """log of the classes' sum for each token; each pair of contexts is worked out once."""
+        pairs, back = np.unique(one.astype(np.int64) * (self.n + 2) + two, return_inverse=True)
+        out = np.empty(len(pairs), np.float32)
+        for at in range(0, len(pairs), most):
+            own = pairs[at : at + most]
+            out[at : at + most] = _log_sums(self.predicted(own // (self.n + 2), own % (self.n + 2)) @ self.classes.T)
+        return out[back]
+
+    def log_probability(self, one: np.ndarray, two: np.ndarray, place: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+        """Natural log-probabilities of places (n: of all other words together); contexts: the word before, and the one before that."""
+        out = -self.class_normalisers(one, two).astype(np.float64)
+        cls = self.class_of(place)
+        for at in range(0, len(place), most):
+            cut = slice(at, at + most)
+            q, own = self.predicted(one[cut], two[cut]), cls[cut]
+            out[cut] += np.einsum("ij,ij->i", q, self.classes[own])
+            order = np.argsort(own.astype(np.uint16) if len(self.classes) < 1 << 16 else own, kind="stable")
+            edges = np.searchsorted(own[order], np.arange(1, len(self.classes) + 1))
+            for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True), 1):
+                if b > a:
+                    rows = order[a:b]
+                    scores = q[rows] @ self.words[(c - 1) * self.span : c * self.span].T
+                    inner = scores[np.arange(b - a), place[cut][rows] - (c - 1) * self.span]
+                    out[at + rows] += inner - _log_sums(scores)
+        return out
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials by row; scores are overwritten."""
+    top = scores.max(axis=1)
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return np.log(scores.sum(axis=1)) + top
 
 
 def _positions(classes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each token and the one before that; `start` at a text's start."""
+    """The word before each token and the one before that; `start` at a text's start."""
     one, two = np.concatenate([[start], classes[:-1]]), np.concatenate([[start, start], classes[:-2]])[: len(classes)]
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     one[first] = start
@@ -211,76 +351,88 @@ def _positions(classes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np
     return one, two
 
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Blocks as (ids, held, lengths, codes, global counts by code, classes by code)."""
-    for row in range(batch.num_rows):
-        get = lambda name: batch.column(name)[row]  # noqa: B023, E731
-        code = np.frombuffer(get("codes").as_py(), np.int32)
-        f = get("facts").values
-        packed = f.field("packed").to_numpy(zero_copy_only=False)
-        order = packed & 0xFFFFFFFF
-        count, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        count[order], place[order] = f.field("count").to_numpy(zero_copy_only=False), packed >> 32
-        yield get("ids").as_py(), np.array(get("held").as_py(), bool), np.array(get("lengths").as_py(), np.int64), code, count, place
+def _places(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((known.get(w, len(known)) for w in words), np.int64, len(words))
 
 
-def trained(known: DataFrame, model: Model) -> Model:
-    """One pass over all training tokens in parallel, and the average of the tasks' parameters.
+_SUMS = "part long, context binary, classes binary, words binary, weights binary, by_word binary, by_class binary"
 
-    known: blocks with facts. Sums meet in two steps, the square root of the tasks each; what reaches the driver is that times
-    a fixed size.
-    """
-    context = known.sparkSession.sparkContext
-    shared, settings = context.broadcast(model), model.settings
-    lanes = max(1, round(known.rdd.getNumPartitions() ** 0.5))
+
+def trained(coded: DataFrame, model: Model, top: list[tuple[bytes, int]], training: int) -> Model:
+    """One pass over all training tokens, each block by itself, and the average: of a word's vectors by its tokens, of a class's by
+    those of the class. Sums meet 32 at a time."""
+    shared, settings = coded.sparkSession.sparkContext.broadcast((model, {w: k for k, (w, _) in enumerate(top)})), model.settings
+    names = [x.split()[0] for x in _SUMS.split(", ")]
+
+    def row(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in held)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums, n, rng = copy.deepcopy(shared.value), {}, 0, None
+        start, known = shared.value
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            for ids, held, lengths, codes, _, place in _columns(batch):
-                rng = rng or np.random.default_rng([settings.seed, zlib.crc32(repr(ids).encode())])
-                classes = place[codes]
-                one, two = _positions(classes, lengths, len(own.logs))
-                keep = np.repeat(~held, lengths)
-                own.train(one[keep], two[keep], classes[keep], rng, sums)
-                n += int(keep.sum())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([int(rng.integers(1 << 30)) % lanes], pa.int64()), pa.array([n], pa.int64()), pa.array([(own.flat() * n).tobytes()], pa.binary())], names=["lane", "n", "sums"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float64) for x in group["sums"]], axis=0)
-        return pd.DataFrame({"n": [int(group["n"].sum())], "sums": [total.tobytes()]})
-
-    parts = known.mapInArrow(run, "lane long, n long, sums binary").groupBy("lane").applyInPandas(add, "n long, sums binary").collect()
-    n = sum(r.n for r in parts)
-    return model.with_flat(np.sum([np.frombuffer(r.sums, np.float64) for r in parts], axis=0) / n) if n else model
-
-
-def scores(known: DataFrame, model: Model, tokens: int, words: int, rest: tuple[int, int]) -> DataFrame:
+            for block in range(batch.num_rows):
+                get = lambda name: batch.column(name)[block].as_py()  # noqa: B023, E731
+                place = _places(get("words").split(b"\n"), known)[np.frombuffer(get("codes"), np.int32)]
+                lengths = np.array(get("lengths"), np.int64)
+                keep = np.repeat(~np.array(get("held"), bool), lengths)
+                if not keep.any():
+                    continue
+                one, two = (x[keep] for x in _positions(place, lengths, start.n + 1))
+                own = start.trained(one, two, place[keep], np.random.default_rng([settings.seed, get("block")]))
+                by_word = np.bincount(np.concatenate([place[keep], one[one > start.n]]), minlength=start.n + 2).astype(float)
+                by_class = np.bincount(start.class_of(place[keep]), minlength=len(start.classes)).astype(float)
+                each = (by_word[:, None], by_class[:, None], by_word[: start.n, None], by_class.sum())
+                more = [*((getattr(own, k) - getattr(start, k)).astype(np.float64) * w for k, w in zip(Model.NAMES, each, strict=True)), by_word, by_class]
+                held = more if held is None else [a + b for a, b in zip(held, more, strict=True)]
+        if held is not None:
+            yield row(TaskContext.get().partitionId(), held)
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        held = [np.sum([np.frombuffer(x, np.float64) for x in table.column(k).to_pylist()], axis=0) for k in names[1:]]
+        return pa.Table.from_batches([row(table.column("part")[0].as_py() // 32, held)])
+
+    tasks = max(1, -(-training // settings.train))
+    parts, n = coded.select("block", "lengths", "held", "codes", "words").coalesce(tasks).mapInArrow(run, _SUMS), tasks
+    while n > 1:
+        parts, n = parts.groupBy(F.floor(F.col("part") / 32).alias("over")).applyInArrow(add, _SUMS), -(-n // 32)
+    got = parts.collect()  # one row
+    if got:
+        each = [np.frombuffer(got[0][k], np.float64) for k in names[1:]]
+        weight = (each[4][:, None], each[5][:, None], each[4][: model.n, None], each[5].sum())
+        for k, total, w in zip(Model.NAMES, each, weight, strict=False):
+            start = getattr(model, k)
+            setattr(model, k, (start + total.reshape(start.shape) / np.maximum(w, 1)).astype(np.float32))
+    return model
+
+
+def scores(known: DataFrame, model: Model, top: list[tuple[bytes, int]], buckets: int, tokens: int, words: int) -> DataFrame:
     """One row a document: held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    tokens, words: training tokens and distinct ones; rest: the same off the shortlist.
+    known: blocks with totals by bucket; tokens, words: training tokens and distinct ones.
     """
-    shared = known.sparkSession.sparkContext.broadcast(model)
+    shared = known.sparkSession.sparkContext.broadcast((model, {w: k for k, (w, _) in enumerate(top)}))
+    rest = tokens - sum(c for _, c in top) + words - len(top) + 1  # add-one within the class of words without a vector
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        share = rest[0] + rest[1] + 1  # add-one within the class of what is off the shortlist
+        own, places = shared.value
         for batch in batches:
-            for ids, held, lengths, codes, count, place in _columns(batch):
-                base = np.log10((count + 1) / (tokens + words + 1))[codes]
-                classes = place[codes]
-                one, two = _positions(classes, lengths, len(own.logs))
-                value = np.empty(len(codes))
-                for at in range(0, len(codes), 1 << 16):
-                    cut = slice(at, at + (1 << 16))
-                    value[cut] = own.log_probability(one[cut], two[cut], classes[cut])
-                value /= np.log(10)
-                value += np.where(place == 0, np.log10((count + 1) / share), 0)[codes]
+            for block in range(batch.num_rows):
+                get = lambda name: batch.column(name)[block].as_py()  # noqa: B023, E731
+                local, code, lengths = get("words").split(b"\n"), np.frombuffer(get("codes"), np.int32), np.array(get("lengths"), np.int64)
+                order, _ = _bucket_order(local, buckets)
+                count = np.empty(len(local), np.int64)
+                count[order] = np.concatenate([np.frombuffer(x["totals"], np.int64) for x in sorted(get("found"), key=lambda x: x["bucket"])])
+                place = _places(local, places)
+                base = np.log10((count + 1) / (tokens + words + 1))
+                share = np.where(place == own.n, np.log10((count + 1) / rest), 0)
+                one, two = _positions(place[code], lengths, own.n + 1)
+                value = own.log_probability(one, two, place[code]) / np.log(10) + share[code]
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 sums = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
-                columns = [pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths), pa.array(sums((count > 0)[codes].astype(np.int64))), pa.array(np.full(len(ids), tokens)), pa.array(sums(base)), pa.array(sums(value))]
+                columns = [pa.array(get("ids"), pa.int64()), pa.array(get("held"), pa.bool_()), pa.array(lengths), pa.array(sums((count > 0)[code].astype(np.int64))), pa.array(np.full(len(lengths), tokens)), pa.array(sums(base[code])), pa.array(sums(value))]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return known.mapInArrow(run, schema)
@@ -288,16 +440,13 @@ def scores(known: DataFrame, model: Model, tokens: int, words: int, rest: tuple[
 
 def scored(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, Model]:  # noqa: B008
     """Scores of every document, and the model; documents whose crc32 falls in the held-out class don't train it."""
-    spark = docs.sparkSession
-    coded = written(blocks(docs, settings), "blocks")
-    counted = written(counts(coded), "counts")
-    totals = counted.agg(F.count("*").alias("v"), F.sum("count").alias("n")).first()
-    words, tokens = totals.v, totals.n or 0
-    top = counted.orderBy(F.desc("count"), "word").limit(settings.shortlist).collect()
-    places = spark.createDataFrame([(bytes(r.word), k) for k, r in enumerate(top)], "word binary, place int")
-    known = written(coded.drop("vocabulary").join(facts(coded, counted, places), "block"), "known")
-    held = np.array([r["count"] for r in top], float)
-    rest = (int(tokens - held.sum()), words - len(top))
-    logs = np.log((np.concatenate([[rest[0]], held]) + 1) / (tokens + len(top) + 1))
-    model = trained(known, Model(logs, settings)).normalise()
-    return scores(known, model, tokens, words, rest), model
+    coded = written(blocks(laned(docs, settings), settings), "blocks")
+    size = coded.agg(F.count("*").alias("blocks"), F.sum("n_words").alias("words"), F.sum("training").alias("training")).first()
+    buckets = max(1, min(8192, -(-(size.words or 0) // settings.bucket)))
+    found = written(totals(packed(coded, buckets), settings, size.blocks), "totals")
+    top, words, tokens = frequent(found, settings)
+    held = np.array([c for _, c in top], float)
+    model = trained(coded, Model(held, int(tokens - held.sum()), settings), top, size.training or 0)
+    own = found.where("member is not null").groupBy(F.col("member").alias("block")).agg(F.collect_list(F.struct("bucket", "totals")).alias("found"))
+    known = coded.select("block", "ids", "held", "lengths", "codes", "words").join(own, "block")
+    return scores(known, model, top, buckets, tokens, words), model

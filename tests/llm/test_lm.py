@@ -53,13 +53,29 @@ def test_model_learns_order_that_unigrams_cannot(spark):
 
 
 def test_probabilities_sum_to_one():
-    settings = lm.Settings(shortlist=20, width=4)
-    model = lm.Model(np.log(np.full(21, 1 / 21)), settings)
-    model.bias += np.linspace(-1, 1, 21).astype(np.float32)
-    model.normalise()
-    for one, two in [(0, 3), (21, 21), (7, 21)]:
-        p = np.exp(model.log_probability(np.full(21, one), np.full(21, two), np.arange(21)))
+    rng = np.random.default_rng(1)
+    model = lm.Model(np.sort(rng.integers(5, 500, 23))[::-1].astype(float), 300, lm.Settings(width=4))
+    for name in model.NAMES:
+        setattr(model, name, (getattr(model, name) + rng.normal(0, 0.5, getattr(model, name).shape)).astype(np.float32))
+    for one, two in [(0, 3), (24, 24), (23, 21)]:
+        p = np.exp(model.log_probability(np.full(24, one), np.full(24, two), np.arange(24)))
         assert abs(p.sum() - 1) < 1e-5
+    # one by one, by the definition
+    q = model.context[2] * model.weights[0] + model.context[24] * model.weights[1]
+    logits = model.classes[:, :4] @ q + model.classes[:, 4]
+    inner = model.words[5:10, :4] @ q + model.words[5:10, 4]
+    want = logits[2] - np.log(np.exp(logits).sum()) + inner[3] - np.log(np.exp(inner).sum())
+    assert model.span == 5 and abs(model.log_probability(np.array([2]), np.array([24]), np.array([8]))[0] - want) < 1e-5
+
+
+def test_partitions_and_groups_do_not_matter(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, [1 / (j + 1) for j in range(300)], k=rng.randint(0, 80)))) for k in range(300)], "doc_id long, text string")
+    small = lm.Settings(block=2000, lane=40, bucket=200)
+    got = [sorted((r.doc_id, r.n_known, r.base_score, round(r.score, 6)) for r in lm.scored(docs.repartition(n), s)[0].collect()) for n, s in [(1, small), (8, small), (3, lm.Settings(block=2000, lane=40, bucket=200, group=4, train=2000))]]
+    assert got[0] == got[1]
+    assert [x[:3] for x in got[0]] == [x[:3] for x in got[2]] and max(abs(a[3] - b[3]) for a, b in zip(got[0], got[2], strict=True)) < 1e-3
 
 
 def test_contexts_stop_at_texts():

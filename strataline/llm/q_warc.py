@@ -38,25 +38,41 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return met.select("page_id", "url", "html", F.when(other, F.col("last")).alias("refers_to"), F.when(other, F.col("last_url")).alias("refers_url"))
 
 
+#: Bytes of payload of one legacy archive, at most, or one page.
+ARC_BYTES = 4 << 20
+
+
+def _legacy(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Pages (page_id, url, payload, refers_to, refers_url) by archive."""
+    held: list[tuple] = []
+    size = 0
+    for batch in (part for whole in batches for part in common.slices(whole, 256)):
+        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "refers_url")]
+        for i, u, payload, to, there in zip(*columns[:2], common.utf8(batch.column("html")), *columns[2:], strict=True):
+            if held and size + len(payload) > ARC_BYTES:
+                yield held
+                held, size = [], 0
+            held.append((i, u, payload, to, there))
+            size += len(payload)
+    if held:
+        yield held
+
+
 def converted(pages: DataFrame) -> DataFrame:
-    """WARC records (binary) of pages: each batch becomes an ARC file of one version or the other, which the converter reads."""
+    """WARC records (gzip members) of pages: some megabytes of them become an ARC file of one version or the other in turn, which the
+    converter reads: its version block gives a warcinfo record, each page a response or a revisit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-            n += 1
-            ids, urls, payloads = batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), common.utf8(batch.column("html"))
-            legacy = warc.write_arc([page_record(i, u, p) for i, u, p in zip(ids, urls, payloads, strict=True)], 1 + n % 2)
-            read = warc.read_arc(legacy)
-            next(read)  # the version block
-            out = []
-            for record, payload, to, url in zip(read, payloads, batch.column("refers_to").to_pylist(), batch.column("refers_url").to_pylist(), strict=True):
+        for n, rows in enumerate(_legacy(batches)):
+            legacy = warc.read_arc(warc.write_arc([page_record(i, u, p) for i, u, p, _, _ in rows], 1 + n % 2))
+            out = [warc.member(warc.to_warc(next(legacy), first=True).to_bytes())]
+            for record, (_, _, payload, to, url) in zip(legacy, rows, strict=True):
                 made = warc.to_warc(record)
                 if to is not None:
                     target = warc.to_warc(page_record(to, url, payload))
                     made = warc.as_revisit(made, target.headers["WARC-Record-ID"], target.headers["WARC-Target-URI"])
                     made.headers["X-Refers-To-Page-Id"] = str(to)
-                out.append(made.to_bytes())
+                out.append(warc.member(made.to_bytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     return pages.mapInArrow(run, "record binary")

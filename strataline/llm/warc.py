@@ -6,18 +6,22 @@ checksum, location, offset and file name. The converter reads either by the decl
 WARC records: identifiers (name-based UUIDs of the source's place and digest), dates in ISO form,
 types (warcinfo for the version block, response for HTTP, resource for the rest) and SHA-1 digests of block and payload.
 
-Archives are written as text with CRLF CRLF after each record, which is the form of an uncompressed WARC file,
-gzipped as a whole; and read back as binary files by declared lengths, so any bytes may stand in a block.
-
-Cases: a null payload is empty; null addresses, dates or types become `-` or absent fields; white space in a URL
-is percent-encoded; payloads of any length and bytes pass; an empty table gives no archives and no rows;
-columns other than those named are ignored.
+Archives are written with each record as a gzip member of its own. The two line ends that close a record are a member too,
+with the archive's own mark in its header: it is the line separator with which Spark's text sink writes the members and its text
+source splits the files, so files of any size are read in parallel, and any bytes may stand in a block. The mark is drawn anew
+for each archive, so no payload can hold it. Archives of others are read as whole files (`read_files`, 2 GB each at most).
+
+Cases: a null payload is empty; null addresses, dates or types become `-` or absent fields; dates that are no day of the
+calendar become the year 1; white space in a URL is percent-encoded; payloads of any length and bytes pass; an empty table
+gives no archives and no rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Fields of a record's header line, by ARC version. Fixed values of the format.
 ARC_FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -116,11 +122,20 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block, b"") if at < 0 else (block[: at + 4], block[at + 4 :])
 
 
+def _date(digits: str) -> str:
+    """Fourteen digits of a day and time that exist."""
+    padded = digits.ljust(14, "0")[:14]
+    try:
+        datetime.datetime(*(int(padded[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14))))
+    except ValueError:
+        padded = ""
+    return padded if digits.isascii() and digits.isdigit() and len(digits) >= 8 and padded else "00010101000000"
+
+
 def to_warc(record: ArcRecord, first: bool = False) -> WarcRecord:
     """The equivalent WARC record."""
     date = record.fields.get("Archive-date", "")
-    date = date if date.isdigit() and len(date) >= 8 else "00010101000000"
-    date = date.ljust(14, "0")[:14]
+    date = _date(date)
     iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     name = f"{record.url} {date} {sha1_base32(record.block)}"
     headers = {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(SPACE, name)}>", "WARC-Date": iso}
@@ -165,21 +180,53 @@ def read_warc(raw: bytes) -> Iterator[WarcRecord]:
         at = end + 4 + length
 
 
-def write_archives(records: DataFrame, path: str, rows_per_file: int = 2000) -> None:
-    """Records (a binary column `record`) as gzipped WARC files; bytes are kept as they are."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
+def closing(mark: str) -> bytes:
+    """The gzip member that ends a record: two line ends, the mark as its file name."""
+    raw = b"\r\n\r\n"
+    deflated = zlib.compressobj(9, zlib.DEFLATED, -15)
+    body = deflated.compress(raw) + deflated.flush()
+    return b"\x1f\x8b\x08\x08\0\0\0\0\0\xff" + mark.encode() + b"\0" + body + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member."""
+    deflated = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflated.compress(raw) + deflated.flush()
+
+
+def _separated(options, path: str):
+    """Reader or writer options for the mark in the archive's path: bytes as they are, members split by the closing one."""
+    mark = path.rstrip("/").rpartition("/")[2]
+    return options.option("encoding", "ISO-8859-1").option("lineSep", closing(mark).decode("latin-1"))
+
+
+def write_archives(records: DataFrame, path: str) -> None:
+    """Records (a binary column `record` of gzip members) as WARC files; path ends with a name never used before."""
+    _separated(records.select(F.col("record").cast("string").alias("value")).write, path).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archives as rows: record_type, headers (map) and block; each file is one task's at most."""
+    """What write_archives wrote, a row a record: record_type, headers (map) and block, by declared lengths; files are split freely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 256)):
+            held = [r for raw in batch.column("value").to_pylist() for r in read_warc(_gunzip(raw))]
+            if held:
+                yield _rows(held)
+
+    members = _separated(spark.read, path).text(path).select(F.col("value").cast("binary").alias("value"))
+    return members.mapInArrow(run, _ROW)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """WARC files of any origin, plain or gzipped, as rows like read_archives'; each file is one task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content"):
                 whole = raw.as_py()
-                whole = _gunzip(whole) if whole[:2] == b"\x1f\x8b" else whole
                 held: list[WarcRecord] = []
-                for record in read_warc(whole):
+                for record in read_warc(_gunzip(whole) if whole[:2] == b"\x1f\x8b" else whole):
                     held.append(record)
                     if len(held) >= 256:
                         yield _rows(held)
@@ -187,8 +234,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield _rows(held)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_type string, headers map<string,string>, block binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _ROW)
+
+
+_ROW = "record_type string, headers map<string,string>, block binary"
 
 
 def _rows(records: list[WarcRecord]) -> pa.RecordBatch:
@@ -199,7 +248,9 @@ def _gunzip(raw: bytes) -> bytes:
     """All members of a gzip file."""
     out = []
     while raw:
-        member = zlib.decompressobj(31)
-        out += [member.decompress(raw), member.flush()]
-        raw = member.unused_data
+        one = zlib.decompressobj(31)
+        out += [one.decompress(raw), one.flush()]
+        if not one.eof:
+            raise ValueError("a gzip member is cut")
+        raw = one.unused_data
     return b"".join(out)

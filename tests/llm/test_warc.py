@@ -1,4 +1,6 @@
 import base64
+import glob
+import gzip
 import hashlib
 from collections import defaultdict
 
@@ -53,7 +55,7 @@ def plain(pages):
 
 def read_back(spark, frame):
     path = common.scratch_path(spark, "warc-test")
-    warc.write_archives(q_warc.converted(q_warc.with_revisits(frame)), path, rows_per_file=3)
+    warc.write_archives(q_warc.converted(q_warc.with_revisits(frame)), path)
     return sorted((tuple(r) for r in q_warc.page_rows(warc.read_archives(spark, path)).collect()), key=str)
 
 
@@ -61,6 +63,32 @@ def test_revisits_nulls_ties_and_odd_pages(spark):
     pages = [(1, "http://a/x y", "same"), (2, None, "same"), (9, "http://é/ü", "same"), (9, "http://z", "same"), (3, "u", None), (4, "u", ""), (5, "u", "alone \r\n\r\nWARC/1.0\r\n"), (None, "u", "same"), (None, "u", "none has an id"), (None, "v", "none has an id"), (6, "u", "é\n" * 30_000)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("extra", "n")
     assert read_back(spark, frame) == plain(pages)
+    # the version blocks are warcinfo records; files are WARC files of gzip members that any reader takes
+    path = common.scratch_path(spark, "warc-test")
+    warc.write_archives(q_warc.converted(q_warc.with_revisits(frame).coalesce(2)), path)
+    rows = warc.read_archives(spark, path).collect()
+    kinds = [r.record_type for r in rows]
+    assert kinds.count("warcinfo") in (1, 2) and len(kinds) == len(pages) + kinds.count("warcinfo")
+    assert b"ARC version" in next(bytes(r.block) for r in rows if r.record_type == "warcinfo")
+    same = lambda rs: sorted((r.record_type, sorted(r.headers.items()), bytes(r.block)) for r in rs)
+    assert same(rows) == same(warc.read_files(spark, path).collect())
+    names = glob.glob(path.removeprefix("file://") + "/part-*")
+    records = [r for name in names for r in warc.read_warc(gzip.open(name).read())]
+    assert len(records) == len(rows) and all(not r.block or r.kind != "warcinfo" or r.block.startswith(b"format:") for r in records)
+
+
+def test_split_files_and_dates(spark):
+    frame = spark.createDataFrame([(k, "u", f"page {k} " * 50) for k in range(3000)], "page_id long, url string, html string").coalesce(1)
+    path = common.scratch_path(spark, "warc-test")
+    warc.write_archives(q_warc.converted(q_warc.with_revisits(frame)), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        back = warc.read_archives(spark, path)
+        assert back.rdd.getNumPartitions() > 3 and sorted(r.page_id for r in q_warc.page_rows(back).collect()) == list(range(3000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    dates = [warc.to_warc(warc.ArcRecord({"URL": "u", "Archive-date": d}, b"x")).headers["WARC-Date"] for d in ("20010203040506", "20010203", "20011399", "2001", "20010230000000", "-")]
+    assert dates == ["2001-02-03T04:05:06Z", "2001-02-03T00:00:00Z", *["0001-01-01T00:00:00Z"] * 4]
     assert q_warc.with_revisits(frame.limit(0)).count() == 0
 
 

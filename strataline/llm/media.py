@@ -4,7 +4,8 @@ Images are decoded by their own headers (PBM, PGM and PPM, plain or raw, 8 or 16
 1, 4, 8, 24 or 32 bits, top-down or bottom-up), resized by area means from an integral image, and written as NPY tiles.
 Any bytes can be laid out losslessly as a grey image of 64 columns.
 
-Cases: a null image gives null results; a null or empty text is a payload of 64 zero bytes; payloads of any
+Cases: a null image gives null results; bytes that are no readable image give null results but for their own length and digest
+(media_bytes, media_sha256); a null or empty text is a payload of 64 zero bytes; payloads of any
 length are taken whole (rows of the image grow); equal payloads give equal images, tiles and hashes; an
 empty table gives an empty table; columns of the input with a result's name are replaced.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import slices, utf8
 
 WIDTH = 64
 
@@ -44,8 +45,8 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + palette.tobytes() + padded.tobytes()
 
 
-def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6 as an array (rows, columns[, 3]); bytes, or 16 bits where the maximum is over 255."""
+def decode_netpbm(raw: bytes) -> tuple[np.ndarray, int]:
+    """P1 to P6 as an array (rows, columns[, 3]) and its declared maximum; bytes, or 16 bits where the maximum is over 255."""
     kind = raw[:2]
     wanted = 2 if kind in (b"P1", b"P4") else 3
     fields, at = [], 2
@@ -56,31 +57,37 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         fields.append(int(m[1]))
         at = m.end()
     columns, rows = fields[:2]
-    top = fields[2] if wanted == 3 else 1
+    top = fields[2] if wanted == 3 else 255
+    if not 0 < top < 1 << 16:
+        raise ValueError("the Netpbm maximum is out of range")
     planes = 3 if kind in (b"P3", b"P6") else 1
     shape = (rows, columns, 3) if planes == 3 else (rows, columns)
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\n\r]*", b"", raw[at:])
         values = np.array(list(re.sub(rb"\s", b"", body)), np.int64) - 48 if kind == b"P1" else np.array(body.split(), np.int64)
         pixels = values[: rows * columns * planes].reshape(shape).astype(np.uint16 if top > 255 else np.uint8)
-        return (1 - pixels) * 255 if kind == b"P1" else pixels
+        return (1 - pixels) * np.uint8(255) if kind == b"P1" else pixels, top
     at += 1  # one white-space byte ends the header
     if kind == b"P4":
         bits = np.unpackbits(np.frombuffer(raw, np.uint8, rows * ((columns + 7) // 8), at).reshape(rows, -1), axis=1)[:, :columns]
-        return (1 - bits) * np.uint8(255)
+        return (1 - bits) * np.uint8(255), top
     if kind not in (b"P5", b"P6"):
         raise ValueError("not a Netpbm image")
-    return np.frombuffer(raw, ">u2" if top > 255 else np.uint8, rows * columns * planes, at).reshape(shape)
+    return np.frombuffer(raw, ">u2" if top > 255 else np.uint8, rows * columns * planes, at).reshape(shape), top
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
     """An uncompressed BMP: grey where its palette is grey, else (rows, columns, 3) in red, green, blue."""
     start, size, columns, rows, _, bits, packing = struct.unpack_from("<IIiiHHI", raw, 10)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or packing == 3 and bits < 16:
         raise ValueError("a BMP of this packing isn't read")
     height, stride = abs(rows), (columns * bits + 31) // 32 * 4
     lines = np.frombuffer(raw, np.uint8, height * stride, start).reshape(height, stride)
     lines = lines[::-1] if rows > 0 else lines
+    if bits == 16 or packing == 3 and bits == 32:
+        masks = struct.unpack_from("<III", raw, 14 + 40) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
+        values = lines[:, : columns * bits // 8].copy().view(f"<u{bits // 8}")
+        return np.stack([_channel(values, mask) for mask in masks], axis=2)
     if bits >= 24:
         return lines[:, : columns * bits // 8].reshape(height, columns, bits // 8)[:, :, 2::-1]
     if bits < 8:
@@ -91,15 +98,22 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     return palette[:, 0][index] if (palette == palette[:, :1]).all() else palette[index]
 
 
-def decode(raw: bytes) -> np.ndarray:
-    return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+def _channel(values: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask as 8 bits."""
+    if not mask:
+        return np.zeros(values.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    return np.rint(((values & mask) >> low) * (255 / (mask >> low))).astype(np.uint8)
 
 
-def grey(pixels: np.ndarray) -> np.ndarray:
-    """Luma by ITU-R BT.601 of a colour image; 16 bits scaled to 8."""
-    out = pixels.astype(np.float64)
-    if pixels.dtype.itemsize == 2:
-        out /= 257
+def decode(raw: bytes) -> tuple[np.ndarray, int]:
+    """Samples as they are stored, and the one that stands for white."""
+    return (decode_bmp(raw), 255) if raw[:2] == b"BM" else decode_netpbm(raw)
+
+
+def grey(pixels: np.ndarray, top: int = 255) -> np.ndarray:
+    """Luma by ITU-R BT.601 of a colour image; samples scaled from their declared maximum to 255."""
+    out = pixels.astype(np.float64) * (255 / top)
     return out if out.ndim == 2 else out @ np.array([0.299, 0.587, 0.114])
 
 
@@ -147,33 +161,35 @@ def text_images(docs: DataFrame, text: str = "text", image: str = "image") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in slices(batch):
                 raw = utf8(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array([len(x) for x in raw], pa.int64()), pa.array([as_image(x) for x in raw], pa.binary())], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that few decoded images are held at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 FEATURES = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("difference_hash", T.StringType()), ("tile", T.BinaryType())]
 
 
-def features(raw: bytes | None) -> tuple:
-    """Of one stored image: its samples' digests, its own, the difference hash and an NPY tile."""
+def features(raw: bytes | None, side: int = 32) -> tuple:
+    """Of one stored image: its samples' digests, its own, the difference hash and an NPY tile; nulls where it can't be read."""
     if raw is None:
         return (None,) * len(FEATURES)
-    pixels = decode(raw)
-    samples, plane = np.ascontiguousarray(pixels).tobytes(), grey(pixels)
-    return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(plane), npy_tile(plane))
-
-
-def image_features(images: DataFrame, image: str = "image") -> DataFrame:
-    """images with FEATURES of the stored image instead of the image."""
+    own = (len(raw), hashlib.sha256(raw).hexdigest())
+    try:
+        pixels, top = decode(raw)
+        if not pixels.size:
+            raise ValueError("an image without pixels")
+        plane = grey(pixels, top)
+        shown = (difference_hash(plane), npy_tile(plane, side))
+    except (ValueError, IndexError, OverflowError, ZeroDivisionError, struct.error):
+        return (None, None, None, *own, None, None)
+    samples = np.ascontiguousarray(pixels).tobytes()
+    return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), *own, *shown)
+
+
+def image_features(images: DataFrame, image: str = "image", side: int = 32) -> DataFrame:
+    """images with FEATURES of the stored image instead of the image; tiles have side x side bytes."""
     names = [n for n, _ in FEATURES]
     kept = [f for f in images.schema.fields if f.name not in (image, *names)]
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in FEATURES)])
@@ -181,8 +197,8 @@ def image_features(images: DataFrame, image: str = "image") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
-                rows = [features(x) for x in part.column(image).to_pylist()]
+            for part in slices(batch):
+                rows = [features(x, side) for x in part.column(image).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[f.name for f in schema.fields])
 
     return images.mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -12,19 +13,19 @@ RNG = np.random.default_rng(5)
 
 
 def test_netpbm_kinds():
-    assert media.decode(b"P2 # c\n2 2\n# d\n9\n1 2\n3 9\n").tolist() == [[1, 2], [3, 9]]
-    assert media.decode(b"P1\n3 1\n1 0 1").tolist() == [[0, 255, 0]]
-    assert media.decode(b"P4\n9 1\n" + bytes([0b10000000, 0b10000000])).tolist() == [[0, *[255] * 7, 0]]
-    assert media.decode(b"P6\n1 1\n255\nabc").tolist() == [[[97, 98, 99]]]
-    assert media.decode(b"P5\n1 2\n65535\n\x01\x00\x00\x02").tolist() == [[256], [2]]
-    assert media.decode(b"P3\n1 1\n255\n1 2 3").tolist() == [[[1, 2, 3]]]
+    assert media.decode(b"P2 # c\n2 2\n# d\n9\n1 2\n3 9\n")[0].tolist() == [[1, 2], [3, 9]]
+    assert media.decode(b"P1\n3 1\n1 0 1")[0].tolist() == [[0, 255, 0]]
+    assert media.decode(b"P4\n9 1\n" + bytes([0b10000000, 0b10000000]))[0].tolist() == [[0, *[255] * 7, 0]]
+    assert media.decode(b"P6\n1 1\n255\nabc")[0].tolist() == [[[97, 98, 99]]]
+    assert media.decode(b"P5\n1 2\n65535\n\x01\x00\x00\x02")[0].tolist() == [[256], [2]]
+    assert media.decode(b"P3\n1 1\n255\n1 2 3")[0].tolist() == [[[1, 2, 3]]]
 
 
 @pytest.mark.parametrize("shape", [(1, 64), (7, 5), (64, 64), (3, 1)])
 def test_round_trips(shape):
     pixels = RNG.integers(0, 256, shape, np.uint8)
-    assert (media.decode(media.encode_pgm(pixels)) == pixels).all()
-    assert (media.decode(media.encode_bmp(pixels)) == pixels).all()
+    assert (media.decode(media.encode_pgm(pixels))[0] == pixels).all()
+    assert (media.decode(media.encode_bmp(pixels))[0] == pixels).all()
 
 
 def test_area_resize_is_the_area_mean():
@@ -64,3 +65,17 @@ def test_nulls_lengths_and_names(spark):
     assert got[1].payload_sha256 == got[2].payload_sha256
     assert media.image_features(spark.createDataFrame([(None,)], "image binary")).collect()[0].payload_bytes is None
     assert media.image_features(media.text_images(docs.limit(0))).count() == 0
+
+
+def test_declared_maximum_and_masks():
+    assert media.grey(*media.decode(b"P2\n2 1\n9\n0 9")).tolist() == [[0, 255]] and media.grey(*media.decode(b"P5\n1 1\n65535\n\xff\xff")).tolist() == [[255]]
+    head = lambda bits, packing, more: struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54 + len(more)) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, bits, packing, 0, 0, 0, 0, 0) + more
+    assert media.decode_bmp(head(16, 0, b"") + struct.pack("<HH", 31 << 10, 0)).tolist() == [[[255, 0, 0]]]
+    assert media.decode_bmp(head(16, 3, struct.pack("<III", 0xF800, 0x7E0, 0x1F)) + struct.pack("<HH", 63 << 5 | 31, 0)).tolist() == [[[0, 255, 255]]]
+    assert media.decode_bmp(head(32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)) + bytes([1, 2, 3, 4])).tolist() == [[[1, 2, 3]]]
+
+
+@pytest.mark.parametrize("raw", [b"", b"P5", b"P5\n4 4\n255\nab", b"BM", b"BM" + bytes(60), b"P2\n1 1\n0\n0", b"P2\n2 2\n9\n1 x", b"P9\n1 1\n255\na", b"P5\n0 0\n255\n"])
+def test_unreadable_images_give_nulls(raw):
+    got = media.features(raw)
+    assert got[3:5] == (len(raw), hashlib.sha256(raw).hexdigest()) and [x for k, x in enumerate(got) if k not in (3, 4)] == [None] * 5

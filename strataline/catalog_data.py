@@ -1,10 +1,14 @@
-"""Fixed values of the built-in catalog. They must stand as they are for results to agree; where two languages share
-an extension, the one further up is the default."""
+"""Fixed values of the built-in catalog: a subset of languages, those in wide use, with their markers and extensions. Where two
+languages share an extension, the one further up is the default."""
 
 # Fixed values: `== line markers == block pairs`, then languages with their extensions.
 LANGUAGES = r"""
 == // == // 1 /* */
 Gradle : gradle
+== # // == /* */
+Elixir Script : exs
+== // == { } (* *)
+F# Script : fsx
 == ; ==
 INI : buildozer.spec editorconfig ini lektorproject prefs
 ClojureC : cljc

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, builtin
 from ..functions.text import file_name, is_text, latin1, prefix, unknown_format
 from .classify import dimension, language
-from .lines import counted
+from .lines import counted, let
 
 MEASURES = ["files", "lines", "blanks", "comments", "code"]
 UNKNOWN = "Unknown"
@@ -23,11 +23,14 @@ def per_file(files: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     the catalog's size and is broadcast; all else is one narrow pass.
     """
     catalog = catalog or builtin()
-    rows = files.select("path", (F.col("content") if "content" in files.columns else F.col("text").cast("binary")).alias("content"))
-    rows = rows.withColumn("content", F.coalesce("content", F.lit(b"")))
-    rows = rows.where(is_text(prefix(F.col("content"))))
-    rows = rows.withColumns({"name": file_name(F.col("path")), "first": latin1(prefix(F.col("content")))})
-    rows = rows.withColumn("language", language(F.col("name"), F.col("first"), catalog)).drop("first")
+    rows = files.select("path", F.coalesce(F.col("content") if "content" in files.columns else F.col("text").cast("binary"), F.lit(b"")).alias("content"))
+
+    def kept(first: Column) -> Column:
+        found = let(file_name(F.col("path")), lambda name: let(latin1(first), lambda text: F.struct(name.alias("name"), language(name, text, catalog).alias("language"))))
+        return F.when(is_text(first), F.array(found)).otherwise(F.array().cast("array<struct<name:string,language:string>>"))
+
+    # a generator, not a filter: a filter would be moved below and repeat what it asks for
+    rows = rows.select("path", "content", F.inline(let(prefix(F.col("content")), kept)))
     joined = rows.join(F.broadcast(dimension(files.sparkSession, catalog).drop("id")), "language", "left")
     none = F.array().cast("array<string>")
     pairs = F.coalesce("pairs", F.array().cast("array<struct<open:string,close:string>>"))

@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions import text as T
 from ..operators import classify, lines, summarize
+from ..session import ready
+from ..sources import ignore
+from . import render
 
 #: File names of documents, by doc_id modulo their number.
 NAMES = ("src/a.rs", "B.RS", "Makefile", "x/style.css", "z.unknown", "README", "deep/dir/Dockerfile.dev", "app.mjs", ".hidden", "notes.TXT", "conf.yaml.in")
 #: First lines of documents, by doc_id modulo their number.
 FIRST = ("#!/usr/bin/env python3", "#!/home/ubuntu/bin/sh", "#!/bin/bash -e", "#!/usr/bin/ruby", "# python", "#!/usr/bin/env node")
-#: Contents for the extensions m and v.
-M_TEXTS = ("function y = plot(x)\ny = x;\n", "#import <Foundation/Foundation.h>\n@interface App : NSObject\n@end\n", "y = 1;", "%{\nfunction x\n@end")
-V_TEXTS = ("module main\nfn main() {\n}\n", "module counter(input clk);\nalways @(posedge clk) begin\nend\nendmodule\n", "x = 1", "import os\nstruct A {\n}\n")
+#: First lines of contents for the extensions m and v; a document's text follows.
+M_TEXTS = ("%{\n  area of a circle\n%}\nfunction a = area(r)\n", "#import <Cocoa/Cocoa.h>\n@implementation Counter\n", "", "classdef Shape\n@protocol Drawn\n")
+V_TEXTS = ("import math\npub struct Point {\n", "module adder(a, b);\nassign c = a;\nendmodule\n", "", "fn area(r f64) {\n")
+#: Folders and names of paths, by doc_id, and the ignore files of their tree.
+FOLDERS = ("src", "build", ".cache", "docs/api", "target/debug")
+FILES = ("a.rs", "b.log", "keep.log", ".hidden.py", "c.tmp", "README.md")
+IGNORES = {"": "*.log\n!keep.log\nbuild/\n/target\n", "docs": "*.tmp\n"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +106,7 @@ def shebang(spark, sf_dir):
 
 
 def _disambiguated(spark, sf_dir, ext: str, texts: tuple[str, ...]) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(_pick(texts, F.col("doc_id")).alias("first"))
+    rows = _table(spark, sf_dir, "documents").select(F.concat(_pick(texts, F.col("doc_id")), F.col("text")).alias("first"))
     found = classify.by_content(F.col("first"), catalog.builtin().by_extension[ext], catalog.builtin())
     return rows.groupBy(found.alias("language")).agg(F.count("*").alias("files"))
 
@@ -140,8 +147,8 @@ def text_filter(spark, sf_dir):
         F.when(k == 0, F.concat(raw, F.lit(b"\x00"))).when(k == 1, F.concat(filler, F.lit("é\n").cast("binary"))).when(k == 2, F.concat(filler, F.lit(b"x\x00")))
         .when(k == 3, F.concat(F.lit(b"\xff"), raw)).when(k == 4, F.lit(b"")).otherwise(raw)
     )
-    rows = _table(spark, sf_dir, "documents").select(k.cast("int").alias("kind"), F.octet_length("text").alias("n"), T.is_text(T.prefix(content)).alias("is_text"))
-    return rows.groupBy("kind").agg(F.count_if(F.col("is_text") | ((F.col("kind") == 0) & (F.col("n") >= T.PREFIX_BYTES))).alias("kept"), F.count("*").alias("files"))
+    rows = _table(spark, sf_dir, "documents").select(k.cast("int").alias("kind"), T.is_text(T.prefix(content)).alias("is_text"))
+    return rows.groupBy("kind").agg(F.count_if("is_text").alias("kept"), F.count("*").alias("files"))
 
 
 def catalog_integrity(spark, sf_dir):
@@ -151,8 +158,32 @@ def catalog_integrity(spark, sf_dir):
     return rules.join(F.broadcast(classify.dimension(spark, own)), "language", "left").groupBy("kind").agg(F.count("*").alias("rules"), F.count_if(F.col("id").isNull()).alias("dangling"))
 
 
+def _summary(spark, sf_dir) -> summarize.Summary:
+    return summarize.summarize(corpus(spark, sf_dir).select("path", "text"), verbose=True)
+
+
+def rendered_table(spark, sf_dir):
+    """The table as printed, line by line."""
+    return spark.createDataFrame(list(enumerate(render.table(_summary(spark, sf_dir)).split("\n"))), "n long, line string")
+
+
+def rendered_json(spark, sf_dir):
+    return spark.createDataFrame([(render.as_json(_summary(spark, sf_dir)),)], "document string")
+
+
+def rendered_formats(spark, sf_dir):
+    return spark.createDataFrame([(render.formats(_summary(spark, sf_dir)),)], "report string")
+
+
+def ignore_rules(spark, sf_dir):
+    """Paths of a tree with ignore files at its root and below: which are left out."""
+    docs = _table(ready(spark), sf_dir, "documents")
+    paths = docs.select(F.concat(_pick(FOLDERS, F.col("doc_id")), F.lit("/"), _pick(FILES, F.floor(F.col("doc_id") / len(FOLDERS)))).alias("path"))
+    return ignore.marked(paths, IGNORES).groupBy("path", "ignored").agg(F.count("*").alias("files"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (lines_by_source, conversation_lines, blank_lines, line_comments, block_fold, html_comments, page_extension, filename_rules, shebang, disambiguate_m, disambiguate_v, summary_rollup, unknown_formats, summary_json, format_numbers, text_filter, catalog_integrity)}
+    return {f.__name__: f for f in (rendered_table, rendered_json, rendered_formats, ignore_rules, lines_by_source, conversation_lines, blank_lines, line_comments, block_fold, html_comments, page_extension, filename_rules, shebang, disambiguate_m, disambiguate_v, summary_rollup, unknown_formats, summary_json, format_numbers, text_filter, catalog_integrity)}
 
 
 # DuckDB.
@@ -229,17 +260,42 @@ def _scored_sql(texts: tuple[str, ...], first: str, second: str) -> str:
     def points(language: str) -> str:
         return " + ".join(f"CASE WHEN regexp_matches(t, {_quoted('(?m)' + regex)}) THEN {n} ELSE 0 END" for x, n, regex in CONTENT_RULES if x == language)
 
-    return f"""WITH t AS (SELECT {_sql_pick(texts)} AS t FROM documents), s AS (SELECT {points(first)} AS a, {points(second)} AS b FROM t)
+    return f"""WITH t AS (SELECT {_sql_pick(texts)} || text AS t FROM documents), s AS (SELECT {points(first)} AS a, {points(second)} AS b FROM t)
 SELECT CASE WHEN b >= 4 AND b >= a + 2 THEN {_quoted(second)} ELSE {_quoted(first)} END AS language, count(*)::BIGINT AS files FROM s GROUP BY 1"""
 
 
+def _rendered_sql(by_path: str, language: str) -> str:
+    """CTE s: the summary by language; cells: strings of all rows of the table; w: widths of its columns."""
+    columns = ("files", "lines", "blanks", "comments", "code")
+    texts = ", ".join(f"format('{{:,}}', {c}) AS {c}" for c in columns)
+    return f"""{by_path}, s AS (SELECT {language} AS language, {_SUMS} FROM folded GROUP BY 1),
+total AS (SELECT {", ".join(f"sum({c})::BIGINT AS {c}" for c in columns)} FROM s),
+cells AS (SELECT 0 AS k, 'Language' AS language, 'Files' AS files, 'Lines' AS lines, 'Blank' AS blanks, 'Comment' AS comments, 'Code' AS code
+  UNION ALL SELECT 1 + row_number() OVER (ORDER BY s.code DESC, language), language, {texts} FROM s
+  UNION ALL SELECT (SELECT count(*) FROM s) + 3, 'Total', {texts} FROM total),
+w AS (SELECT max(length(language)) AS language, {", ".join(f"max(length({c})) AS {c}" for c in columns)} FROM cells)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    columns = ("files", "lines", "blanks", "comments", "code")
     rust = "path IN ('src/a.rs', 'B.RS', 'app.mjs')"
     block = "path IN ('src/a.rs', 'B.RS', 'app.mjs', 'x/style.css')"
     by_path = f"WITH {_corpus_sql()}, {_fold_sql(rust, block)}"
     language = _languages_sql()
     line = f"string_split({_sql_pick(FIRST)}, chr(10))[1]"
+    rendered = _rendered_sql(by_path, language)
+    line_end = "chr(10)"
+    numbers = lambda row, indent: f" || ',' || {line_end} || ".join(f"'{indent}\"{c}\": ' || {row}.{c}" for c in ("files", "lines", "comments", "blanks", "code"))
     return {
+        "rendered_table": f"""{rendered} SELECT k AS n, rpad(c.language, w.language::INT, ' ') || {" || ".join(f"' ' || lpad(c.{x}, w.{x}::INT, ' ')" for x in columns)} AS line FROM cells c, w
+UNION ALL SELECT k, repeat('-', w.language) || {" || ".join(f"' ' || repeat('-', w.{x})" for x in columns)} FROM w, (SELECT 1 AS k UNION ALL SELECT count(*) + 2 FROM s)
+UNION ALL SELECT count(*) + 4, '' FROM s""",
+        "rendered_json": f"""{rendered}, items AS (SELECT string_agg('    {{' || {line_end} || '      "language": "' || language || '",' || {line_end} || {numbers('s', '      ')} || {line_end} || '    }}', ',' || {line_end} ORDER BY s.code DESC, language) AS x FROM s)
+SELECT '{{' || {line_end} || '  "languages": [' || {line_end} || x || {line_end} || '  ],' || {line_end} || '  "total": {{' || {line_end} || {numbers('total', '    ')} || {line_end} || '  }}' || {line_end} || '}}' || {line_end} AS document FROM items, total""",
+        "rendered_formats": f"""WITH p AS (SELECT {_sql_pick(NAMES)} AS path FROM documents), f AS (SELECT CASE path WHEN 'z.unknown' THEN '.unknown' ELSE path END AS format, count(*)::BIGINT AS files FROM p WHERE path IN ('z.unknown', 'README', '.hidden') GROUP BY 1)
+SELECT {line_end} || 'Unknown file formats:' || {line_end} || string_agg('  ' || rpad(format, 24, ' ') || ' ' || lpad(format('{{:,}}', files), 8, ' ') || {line_end}, '' ORDER BY files DESC, format) AS report FROM f""",
+        "ignore_rules": f"""WITH p AS (SELECT ({_list(FOLDERS)})[doc_id % 5 + 1] AS folder, ({_list(FILES)})[(doc_id // 5) % 6 + 1] AS file FROM documents)
+SELECT folder || '/' || file AS path, NOT (folder IN ('src', 'docs/api') AND (file IN ('a.rs', 'keep.log', 'README.md') OR (file = 'c.tmp' AND folder = 'src'))) AS ignored, count(*)::BIGINT AS files FROM p GROUP BY 1, 2""",
         "lines_by_source": _plain_sql("documents", "source"),
         "conversation_lines": _plain_sql("conversations", "role"),
         "blank_lines": f"WITH {_corpus_sql()} SELECT source, count(*) FILTER (ltrim(line, {_WHITE}) = '')::BIGINT AS blanks FROM kept GROUP BY source",

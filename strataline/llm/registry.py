@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_secrets", "q_chat", "q_quality", "q_warc", "q_media", "q_lm", "q_bpe", "q_mixing", "q_licenses", "q_jaccard", "q_pipeline"]
+MODULES = ["q_secrets", "q_chat", "q_quality", "q_warc", "q_media", "q_lm", "q_bpe", "q_mixing", "q_licenses", "q_jaccard", "q_base", "q_pipeline"]
 
 
 def _modules():

@@ -4,17 +4,20 @@ A turn is written `<|turn|>role\\ntext</s>\\n`. Control strings inside a role or
 character (and one more for each that stands there already), so they can't be mistaken for the template's and come
 back exactly when one is taken off.
 
-A conversation is cut at turns into windows. Prefix sums of the turns' tokens place each turn: the room that is left
-beside the system turn and the history is cut into stripes of half its size, and turns that begin in one
-stripe share a window, so a window never exceeds the room; a turn longer than half the room has a window
-of its own. A window begins with the system turn and repeats up to `history_turns` turns before it, as far as `history`
-tokens allow. The loss mask covers assistant texts where they are new; repeated ones are masked out.
+A conversation is cut at turns into windows. Its turns are gathered by blocks of turn numbers, so a conversation that holds a
+large share of all rows is spread over many tasks; a block is one row. There, prefix sums of the turns' tokens place each turn:
+a window takes turns as long as they fit the room that is left beside the system turn and the history; a turn longer than
+the room has a window of its own, and a block begins one. A window begins with the system turn and repeats up to `history_turns`
+turns before it, of its own block or the one before, as far as `history` tokens allow. The loss mask covers assistant
+texts where they are new; repeated ones are masked out. Texts are shuffled once, to their blocks; what passes between
+blocks is their counts (a row a block), the last turns of the block before, and the system turn.
 
-Turns are numbered by range within a conversation in two steps (blocks of turn numbers, then totals of blocks), so a
-conversation that holds a large share of all rows is spread over many tasks; only its blocks' totals meet.
+Tokens are estimated by pieces of words, numbers and signs of the lengths that byte-level vocabularies have, unless the caller
+gives a column of exact counts.
 
 Cases: null text or role is empty; turns are ordered by turn (null last), then role, then text, and repeated rows are
-turns of their own; a null conv_id is a conversation; an empty table gives an empty table; other columns are ignored.
+turns of their own; a null conv_id is a conversation; texts and roles of any length and characters come back as they were;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import salted_lookup
+
 #: Control strings of common chat templates and of this one, without their first character. Fixed values.
 CONTROL = r"/?INST\]|/?s>|/?<SYS>>|\|turn\|>|\|im_(?:start|end)\|>|\|endoftext\|>"
 _PLAIN = rf"([<\[])(\\*)({CONTROL})"
@@ -32,9 +37,13 @@ _ESCAPED = rf"([<\[])\\(\\*)({CONTROL})"
 OPEN, CLOSE = "<|turn|>", "</s>"
 
 
+#: Pieces that count as a token each.
+TOKEN = r"\x20?\p{L}{1,7}|\x20?\p{N}{1,3}|\x20?[^\x09-\x0D\x20\p{L}\p{N}]{1,3}|[\x09-\x0D\x20]"
+
+
 @dataclass(frozen=True)
 class Budget:
-    """tokens: of a window; history: of repeated turns; block: turn numbers numbered together."""
+    """tokens: of a window; history: of repeated turns; block: turn numbers gathered in one row."""
 
     tokens: int = 1024
     history: int = 128
@@ -42,6 +51,10 @@ class Budget:
     system: int = 256
     block: int = 256
 
+    @property
+    def room(self) -> int:
+        return self.tokens - self.system - self.history
+
 
 def escape(col: Column) -> Column:
     return F.regexp_replace(col, _PLAIN, r"$1\\$2$3")
@@ -57,98 +70,106 @@ def _role(col: Column) -> Column:
 
 
 def _unrole(col: Column) -> Column:
-    mark = F.lit("\x00")
-    return F.replace(F.replace(F.replace(col, F.lit("\\\\"), mark), F.lit("\\n"), F.lit("\n")), mark, F.lit("\\"))
+    """The inverse, pair by pair: between doubled backslashes, what is left of them begins a line end."""
+    return F.array_join(F.transform(F.split(col, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def placed(turns: DataFrame, budget: Budget) -> DataFrame:
-    """Turns with their place, tokens, tokens before them, and kind: 0 the system turn that windows repeat, else 1.
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The system turn is the first turn if its role is system and it fits `system` tokens.
-    """
+
+def blocks(turns: DataFrame, budget: Budget, tokens: str | None = None) -> DataFrame:
+    """(conv, conv_id, block, n, raw): the turns of a block, n of them, in order."""
     c = F.col
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(r"\w+|[^\w\s]")).cast("long") + 4)
-    rows = rows.withColumn("block", F.floor(F.coalesce(c("turn"), F.lit((1 << 62) - 1)) / budget.block))
-    within = W.partitionBy("conv_id", "block").orderBy(c("turn").asc_nulls_last(), "role", "text")
-    return (rows.withColumn("at", F.row_number().over(within).cast("long")).withColumn("before", F.sum("tokens").over(within.rowsBetween(W.unboundedPreceding, 0)) - c("tokens")))
+    count = c(tokens).cast("long") if tokens else F.regexp_count("text", F.lit(TOKEN)).cast("long") + 4
+    rows = turns.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    item = F.struct(c("turn").isNull().alias("last"), "turn", "role", "text", count.alias("tokens"))
+    rows = rows.select(F.coalesce(F.concat(F.lit("="), c("conv_id").cast("string")), F.lit("-")).alias("conv"), "conv_id", F.floor(F.coalesce(c("turn"), F.lit((1 << 62) - 1)) / budget.block).alias("block"), item.alias("item"))
+    gathered = rows.groupBy("conv", "block").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("item")).alias("items"))
+    return gathered.select("conv", "conv_id", "block", F.size("items").alias("n"), F.col("items").alias("raw"))
 
 
-def _offsets(rows: DataFrame, amounts: dict[str, Column]) -> DataFrame:
-    """Totals of the blocks before each block, by conversation: one row a block."""
-    totals = rows.groupBy("conv_id", "block").agg(*(v.alias(k) for k, v in amounts.items()))
-    earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return totals.select("conv_id", "block", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"off_{k}") for k in amounts))
+def _shown(raw: Column, budget: Budget) -> Column:
+    """Turns as they are written, with tokens, and whether they are targets or may be the system turn."""
+    return F.transform(raw, lambda x: F.struct(
+        F.concat(F.lit(OPEN), escape(_role(x["role"])), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), x["tokens"].alias("tokens"),
+        (x["role"] == "assistant").alias("target"), ((x["role"] == "system") & (x["tokens"] <= budget.system)).alias("system"),
+    ))
 
 
-def _by_block(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    named = facts.withColumnsRenamed({"conv_id": "_conv", "block": "_block"})
-    return rows.join(named, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")), "left").drop("_conv", "_block")
+def _neighbours(rows: DataFrame, budget: Budget) -> DataFrame:
+    """(conv, block, off: turns before it, tail: last turns of the block before, lead: the conversation's system turn) of all
+    blocks but first ones."""
+    c = F.col
+    order = W.partitionBy("conv").orderBy("block")
+    light = rows.select("conv", "block", "n").withColumns({"off": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), "prior": F.lag("block").over(order)})
+    later = light.where("prior is not null").select("conv", "block", "off", "prior")
+    most = F.greatest(c("n") - budget.history_turns, F.lit(0)) + 1
+    # the system turn stands first in the conversation's first block: the others ask for it there
+    first = light.groupBy("conv").agg(F.min("block").alias("block"), F.count("*").alias("blocks")).where("blocks > 1").drop("blocks")
+    lead = rows.join(first, ["conv", "block"]).select("conv", F.get(_shown(F.slice("raw", 1, 1), budget), F.lit(0)).alias("lead")).where("lead.system")
+    tails = rows.select("conv", c("block").alias("prior"), _shown(F.slice("raw", most, budget.history_turns), budget).alias("tail"))
+    # of a first block's turns, the system turn is never repeated as history
+    met = later.join(tails, ["conv", "prior"]).join(first.select("conv", c("block").alias("begin")), "conv", "left")
+    tail = F.when((c("prior") == c("begin")), F.filter("tail", lambda x, k: ~((k == 0) & x["system"] & (c("off") <= budget.history_turns)))).otherwise(c("tail"))
+    return salted_lookup(met.withColumn("tail", tail).select("conv", "block", "off", "tail"), lead, "conv", 8, c("block"))
 
 
-def windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
+def _starts(items: Column, room: int) -> Column:
+    """Where windows begin: a turn that no longer fits begins the next."""
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("k"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = (acc["k"] == 0) | (acc["sum"] + x["tokens"] > room)
+        return F.struct(F.when(begins, x["tokens"]).otherwise(acc["sum"] + x["tokens"]).alias("sum"), F.when(begins, F.concat(acc["starts"], F.array(acc["k"]))).otherwise(acc["starts"]).alias("starts"), (acc["k"] + 1).alias("k"))
+
+    return F.aggregate(items, zero, step, lambda acc: acc["starts"])
+
+
+def windows(turns: DataFrame, budget: Budget = Budget(), tokens: str | None = None) -> DataFrame:  # noqa: B008
     """One row a window: conv_id, window (its first new turn's place), formatted, loss (array of start, end in code
-    points, end exclusive), n_repeated turns at its start, tokens, and over_budget for a single turn too long."""
+    points, end exclusive), n_repeated turns at its start, tokens, and over_budget for a single turn too long.
+
+    tokens: a column of exact counts, template included, instead of the estimate.
+    """
     c = F.col
-    room = budget.tokens - budget.system - budget.history
-    half = room // 2
-    rows = placed(turns, budget)
-    rows = _by_block(rows, _offsets(rows, {"at": F.count("*"), "before": F.sum("tokens")}))
-    rows = rows.withColumns({"at": c("at") + c("off_at"), "before": c("before") + c("off_before")}).drop("off_at", "off_before")
-    rows = rows.withColumn("is_system", (c("at") == 1) & (c("role") == "system") & (c("tokens") <= budget.system))
-    rows = rows.withColumn("long", c("tokens") > half)
-    # neighbours decide where windows begin; a block's first turns look into the block before through its last turns
-    order = W.partitionBy("conv_id", "block").orderBy("at")
-    fact = F.struct("at", "before", "tokens", "long", F.floor(c("before") / half).alias("stripe"))
-    rows = rows.withColumn("fact", fact)
-    ends = rows.groupBy("conv_id", "block").agg(F.max("fact").alias("final"))
-    prior = ends.select("conv_id", "block", F.lag("final").over(W.partitionBy("conv_id").orderBy("block")).alias("prior"))
-    rows = _by_block(rows, prior)
-    last = F.coalesce(F.lag("fact").over(order), c("prior"))
-    rows = rows.withColumn("begins", last.isNull() | c("long") | last["long"] | (last["stripe"] != c("fact.stripe"))).drop("prior")
-    starts = F.when(c("begins"), c("at"))
-    rows = _by_block(rows, _running_start(rows, starts))
-    rows = rows.withColumn("window", F.coalesce(F.max(starts).over(order.rowsBetween(W.unboundedPreceding, 0)), c("open"))).drop("open")
-    return _assembled(rows, budget)
-
-
-def _running_start(rows: DataFrame, starts: Column) -> DataFrame:
-    """The window open at the end of the blocks before each block."""
-    last = rows.groupBy("conv_id", "block").agg(F.max(starts).alias("start"))
-    earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return last.select("conv_id", "block", F.max("start").over(earlier).alias("open"))
-
-
-def _assembled(rows: DataFrame, budget: Budget) -> DataFrame:
+    rows = blocks(turns, budget, tokens)
+    met = rows.join(_neighbours(rows, budget), ["conv", "block"], "left").withColumn("items", _shown(c("raw"), budget))
+    met = met.withColumns({"off": F.coalesce("off", F.lit(0)), "tail": F.coalesce("tail", F.slice("items", 1, 0))})
+    own = F.get("items", F.lit(0))
+    met = met.withColumn("lead", F.when(c("off") == 0, F.when(own["system"], own)).otherwise(c("lead")))
+    met = met.withColumn("starts", _starts(c("items"), budget.room))
+    cut = F.transform("starts", lambda s, k: F.struct(s.alias("start"), (F.coalesce(F.get("starts", k + 1), F.size("items")) - s).alias("n")))
+    cut = met.select("conv_id", "off", "lead", "items", F.explode(cut).alias("cut"), "tail")
+    # turns just before the window, the last first; each must fit with those after it
+    before = F.concat("tail", F.slice("items", 1, c("cut.start")))
+    before = let(before, lambda x: F.slice(x, F.greatest(F.size(x) - budget.history_turns, F.lit(0)) + 1, budget.history_turns))
+    cut = cut.withColumn("near", before)
+    isnt_lead = lambda k: ~((c("off") == 0) & (c("cut.start") - F.size("near") + k == 0) & F.get("near", k)["system"])
+    fits = lambda k: F.aggregate(F.slice("near", k + 1, F.size("near")), F.lit(0).cast("long"), lambda acc, x: acc + x["tokens"]) <= budget.history
+    repeated = F.filter("near", lambda x, k: isnt_lead(k) & fits(k))
+    later = (c("off") + c("cut.start") > 0) & c("lead").isNotNull()
+    kept = cut.select("conv_id", (c("off") + c("cut.start") + 1).cast("long").alias("window"), F.concat(F.when(later, F.array("lead")).otherwise(F.slice("items", 1, 0)), repeated).alias("old"), F.slice("items", c("cut.start") + 1, c("cut.n")).alias("new"))
+    return _assembled(kept, budget)
+
+
+def _assembled(kept: DataFrame, budget: Budget) -> DataFrame:
     c = F.col
-    firsts = rows.where("begins").select("conv_id", "window", c("before").alias("start"))
-    body = F.concat(F.lit(OPEN), escape(_role(c("role"))), F.lit("\n"))
-    written = rows.select("conv_id", "window", "at", "before", "tokens", "is_system", "role", body.alias("head"), escape(c("text")).alias("body"))
-    new = written.select("conv_id", "window", F.lit(2).alias("kind"), "at", "tokens", "head", "body", (c("role") == "assistant").alias("target"))
-    # the system turn stands before every later window
-    system = written.where("is_system").select(c("conv_id").alias("sid"), "at", "tokens", "head", "body")
-    retained = firsts.where("window > 1").join(system, c("conv_id").eqNullSafe(c("sid"))).select("conv_id", "window", F.lit(0).alias("kind"), "at", "tokens", "head", "body", F.lit(False).alias("target"))
-    # a turn is repeated in windows that begin up to history_turns places after it
-    later = written.where("not is_system").withColumn("shift", F.explode(F.sequence(F.lit(1), F.lit(budget.history_turns)))) if budget.history_turns else written.limit(0).withColumn("shift", F.lit(1))
-    goal = firsts.select(c("conv_id").alias("fid"), c("window").alias("then"), "start")
-    near = later.join(goal, c("conv_id").eqNullSafe(c("fid")) & (c("at") + c("shift") == c("then"))).where(c("start") - c("before") <= budget.history)
-    repeated = near.select("conv_id", c("then").alias("window"), F.lit(1).alias("kind"), "at", "tokens", "head", "body", F.lit(False).alias("target"))
-    parts = new.unionByName(retained).unionByName(repeated)
-    item = F.struct("kind", "at", "tokens", "head", "body", "target")
-    packed = parts.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(item)).alias("turns"), F.sum("tokens").alias("tokens"))
-    size = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE) + 1)
-    packed = packed.withColumn("sizes", size)
-    packed = packed.withColumn("formatted", F.concat_ws("", F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE + "\n")))))
-    ends = F.aggregate("sizes", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    part = lambda x, target: F.struct(x["head"].alias("head"), x["body"].alias("body"), x["tokens"].alias("tokens"), target.alias("target"))
+    packed = kept.select("conv_id", "window", F.size("old").alias("n_repeated"), F.concat(F.transform("old", lambda x: part(x, F.lit(False))), F.transform("new", lambda x: part(x, x["target"]))).alias("turns"))
+    sizes = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(CLOSE) + 1)
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE + "\n"))), "")
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    packed = packed.withColumns({"ends": ends, "formatted": formatted, "tokens": F.aggregate("turns", F.lit(0).cast("long"), lambda acc, x: acc + x["tokens"])})
     spans = F.zip_with("turns", F.slice("ends", 1, F.size("turns")), lambda t, at: F.struct((at + F.length(t["head"])).alias("start"), (at + F.length(t["head"]) + F.length(t["body"])).alias("end"), t["target"].alias("target")))
     loss = F.transform(F.filter(spans, lambda s: s["target"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    repeats = F.size(F.filter("turns", lambda t: t["kind"] < 2)).alias("n_repeated")
-    return packed.withColumn("ends", ends).select("conv_id", "window", "formatted", loss.alias("loss"), repeats, "tokens", (c("tokens") > budget.tokens).alias("over_budget"))
+    return packed.select("conv_id", "window", "formatted", loss.alias("loss"), "n_repeated", "tokens", (c("tokens") > budget.tokens).alias("over_budget"))
 
 
 def parsed(formatted: DataFrame) -> DataFrame:
     """Windows with turns (array of role, text), read from the formatted string, and targets (texts under the loss mask)."""
-    cut = F.filter(F.split("formatted", r"<\|turn\|>"), lambda x: x != "")
+    cut = F.filter(F.split("formatted", r"<\|turn\|>", -1), lambda x: x != "")
     turn = F.transform(cut, lambda x: F.struct(_unrole(unescape(F.substring_index(x, "\n", 1))).alias("role"), unescape(_text(x)).alias("text")))
     under = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
     return formatted.withColumns({"turns": turn, "targets": under})

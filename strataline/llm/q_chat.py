@@ -32,25 +32,26 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(chat.windows(turns(spark, sf_dir), BUDGET))
+    """The windows are stored, and all that is returned is read from them."""
+    return read_back(common.written(chat.windows(turns(spark, sf_dir), BUDGET), "windows"))
 
 
 QUERIES = {"op2_chat_format": op2_chat_format}
 _ESCAPED = r"regexp_replace({x}, '([<\[])(\\*)(" + chat.CONTROL + r")', '\1\\\2\3', 'g')"
 SQL = {
     "op2_chat_format": rf"""
-WITH src AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH RECURSIVE src AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{ODD}' UNION ALL SELECT -1, 1, 'assistant', '{ODD}'),
-t AS (SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS tokens, row_number() OVER o AS place FROM src WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
-p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS before, place = 1 AND role = 'system' AND tokens <= {BUDGET.system} AS is_system,
-  tokens > {(BUDGET.tokens - BUDGET.system - BUDGET.history) // 2} AS long, 13 + length(replace(replace(role, '\', '\\'), chr(10), '\n')) + 1 + length({_ESCAPED.format(x="text")}) AS chars FROM t),
-s AS (SELECT *, before // {(BUDGET.tokens - BUDGET.system - BUDGET.history) // 2} AS stripe FROM p),
-b AS (SELECT *, place = 1 OR long OR lag(long) OVER o OR lag(stripe) OVER o <> stripe AS begins FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
-w AS (SELECT conv_id, place, before FROM b WHERE begins),
-retained AS (SELECT w.conv_id, sum(b.chars) AS c FROM w JOIN b ON w.conv_id = b.conv_id AND b.is_system WHERE w.place > 1 GROUP BY 1),
-repeated AS (SELECT w.conv_id, sum(b.chars) AS c FROM w JOIN b ON w.conv_id = b.conv_id AND b.place BETWEEN w.place - {BUDGET.history_turns} AND w.place - 1 AND NOT b.is_system AND w.before - b.before <= {BUDGET.history} GROUP BY 1),
+t AS (SELECT *, len(regexp_extract_all(text, '{chat.TOKEN}')) + 4 AS tokens, row_number() OVER o AS place, floor(coalesce(turn, 4611686018427387903) / {BUDGET.block}) AS block FROM src WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+p AS (SELECT *, place = 1 AND role = 'system' AND tokens <= {BUDGET.system} AS is_system, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS before, row_number() OVER (PARTITION BY conv_id, block ORDER BY place) AS k,
+  dense_rank() OVER (PARTITION BY conv_id ORDER BY block) AS part, 13 + length(replace(replace(role, '\', '\\'), chr(10), '\n')) + 1 + length({_ESCAPED.format(x="text")}) AS chars FROM t),
+walk AS (SELECT conv_id, part, k, tokens AS held, true AS begins FROM p WHERE k = 1
+  UNION ALL SELECT p.conv_id, p.part, p.k, CASE WHEN held + p.tokens > {BUDGET.room} THEN p.tokens ELSE held + p.tokens END, held + p.tokens > {BUDGET.room} FROM walk JOIN p ON p.conv_id = walk.conv_id AND p.part = walk.part AND p.k = walk.k + 1),
+w AS (SELECT p.conv_id, p.part, p.place, p.before FROM p JOIN walk USING (conv_id, part, k) WHERE begins),
+retained AS (SELECT w.conv_id, sum(p.chars) AS c FROM w JOIN p ON w.conv_id = p.conv_id AND p.is_system WHERE w.place > 1 GROUP BY 1),
+repeated AS (SELECT w.conv_id, sum(p.chars) AS c FROM w JOIN p ON w.conv_id = p.conv_id AND p.part >= w.part - 1 AND p.place BETWEEN w.place - {BUDGET.history_turns} AND w.place - 1 AND NOT p.is_system AND w.before - p.before <= {BUDGET.history} GROUP BY 1),
 n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
-c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM b GROUP BY conv_id)
+c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM p GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (chars + coalesce(retained.c, 0) + coalesce(repeated.c, 0))::BIGINT AS formatted_chars, n.n::BIGINT AS n_windows
 FROM c JOIN n USING (conv_id) LEFT JOIN retained USING (conv_id) LEFT JOIN repeated USING (conv_id)
 """,

@@ -57,6 +57,7 @@ def test_windows_keep_the_budget_the_system_turn_and_limited_history(spark):
             history = w.turns[1 : w.n_repeated] if w.window > 1 else []
             first = w.window - 1  # place 1 is turn 0
             assert [t.text for t in history] == [rows[first - len(history) + k][3] for k in range(len(history))]
+        assert w.tokens <= budget.tokens or w.over_budget
         assert len(w.loss) == sum(t.role == "assistant" for t in w.turns[w.n_repeated :])
         assert [w.formatted[s.start : s.end] for s in w.loss] == [t.text for t in w.turns[w.n_repeated :] if t.role == "assistant"]
     assert sum(len(w.turns) - w.n_repeated for w in windows) == len(rows)
@@ -64,7 +65,7 @@ def test_windows_keep_the_budget_the_system_turn_and_limited_history(spark):
 
 
 def test_nulls_ties_repeats_and_empty(spark):
-    rows = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 3, "assistant", "b"), (None, None, "user", "z"), (2, 5, "a\nb\\", "c"), (3, -7, "assistant", "[INST]"), (3, 900, "assistant", "</s>" * 20_000)]
+    rows = [(1, 0, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 3, "assistant", "b"), (None, None, "user", "z"), (2, 5, "a\nb\\", "c"), (2, 6, "us\x00er\\n\\\n", "\x00"), (4, None, "user", "q" * 300), (4, None, "user", "p"), (3, -7, "assistant", "[INST]"), (3, 900, "assistant", "</s>" * 20_000)]
     frame = spark.createDataFrame(rows, DDL)
     assert got(frame) == plain(rows)
     assert chat.windows(frame.limit(0)).count() == 0
@@ -78,3 +79,13 @@ def test_query(spark):
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in result.collect()} == plain(rows)
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_windows_are_filled_and_counts_can_be_given(spark):
+    budget = chat.Budget(tokens=1000, history=0, history_turns=0, system=100)
+    rows = [(1, k, "user", "x", 90) for k in range(250)] + [(1, 250, "user", "y", 2000)]
+    frame = spark.createDataFrame(rows, DDL + ", own long")
+    got = sorted((w.window, w.tokens, w.over_budget) for w in chat.windows(frame, budget, tokens="own").collect())
+    assert [t for _, t, _ in got[:25]] == [900] * 25 and got[25:] == [(251, 2000, True)]
+    plan = chat.windows(frame.select("conv_id", "turn", "role", "text"), q_chat.BUDGET)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("collect_list(item") <= 8 and "Python" not in plan

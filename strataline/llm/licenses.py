@@ -18,14 +18,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: A word, after A-Z are lower-cased: letters, digits and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word, after A-Z are lower-cased: letters, digits and anything beyond ASCII; and the same in either case.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 #: Base phrases and their labels. Fixed values.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -85,18 +87,25 @@ def based(docs: DataFrame, scan: Scan, text: str = "text") -> DataFrame:
     Phrases are sought in strings; only documents with one, or with a template's key phrase, are split into words.
     """
     c = F.col
-    rows = docs.select("doc_id", ascii_lower(F.coalesce(text, F.lit(""))).alias("lower"))
-    rows = rows.withColumn("n_words", F.regexp_count("lower", F.lit(WORD)).cast("long"))
-    return rows.withColumn("words", F.when(c("lower").rlike(_hints(scan)), F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)))).drop("lower")
+    rows = docs.select("doc_id", F.coalesce(F.regexp_count(text, F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"), ascii_lower(F.coalesce(text, F.lit(""))).alias("lower"))
+    return rows.withColumn("words", F.when(_hinted(c("lower"), scan), F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)))).drop("lower")
 
 
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _hints(scan: Scan) -> str:
-    """Matches every text in which a phrase or a key phrase of any template may stand: its two first words, whole and side by side."""
-    pairs = sorted({tuple(p.split()[:2]) for p in [*(p for p, _ in PHRASES), *(t.keys[0] for t in scan.templates)]})
-    return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(f'{_BREAK}+'.join(x) for x in pairs)})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+def _hinted(lower: Column, scan: Scan) -> Column:
+    """Whether a phrase, or a key phrase of any template, may stand in a text: first by plain strings, a long word of each phrase, then
+    by its words side by side and whole."""
+    phrases = sorted({*(p for p, _ in PHRASES), *(t.keys[0] for t in scan.templates)})
+    long = {p: [w for w in p.split() if len(w) > 5] for p in phrases}
+    common = sorted({w for ws in long.values() for w in ws}, key=lambda w: (-sum(w in ws for ws in long.values()), w))
+    probes = {next(w for w in common if w in ws) for ws in long.values() if ws}
+    short = [p for p in phrases if not long[p]]
+    quick = [F.contains(lower, F.lit(w)) for w in sorted(probes)] + ([lower.rlike("|".join(sorted({_BREAK.join(p.split()[:2]) for p in short})))] if short else [])
+    edge = r"0-9a-z\x{80}-\x{10FFFF}"
+    whole = rf"(?<![{edge}])(?:{'|'.join(_BREAK.join(p.split()) for p in phrases)})(?![{edge}])"
+    return reduce(lambda a, b: a | b, quick) & lower.rlike(whole)
 
 
 def places(words: Column | str, phrase: str) -> Column:

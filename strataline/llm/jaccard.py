@@ -17,7 +17,9 @@ frequent, ties by hash; it is cut into fragments, and a set is cut with it.
    all pairs.
 
 N-grams count as frequent by what tasks repeat locally; the order is exact for any such estimate, which only
-decides how short postings are. Hashes of different n-grams of one pair collide with a probability below 1e-12.
+decides how short postings are. Hashes of different n-grams of one pair collide with a probability below 1e-12. Classes are told apart
+by 128 bits; between steps 64 of them name a class, which two of 10^8 different sets share with a probability of 3e-4, and some three
+pairs of 10^10 sets.
 
 Cases: null and empty texts have the empty set and link with nothing; a text with fewer words than n has its
 whole sequence as one n-gram; a null doc_id takes part in no link and has no component; rows that repeat a
@@ -43,13 +45,14 @@ _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 @dataclass(frozen=True)
 class Join:
-    """n: words of an n-gram; percent: similarity asked for; fragments: parts of the order's rare end; frequent: most n-grams known as frequent."""
+    """n: words of an n-gram; percent: similarity asked for; fragments: parts of the order's rare end; frequent: most n-grams known as
+    frequent; lane: logarithm of how many sets of a frequent n-gram are posted together."""
 
     n: int = 5
     percent: int = 80
     fragments: int = 4
     frequent: int = 500_000
-    lanes: int = 16
+    lane: int = 9
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -198,7 +201,8 @@ def _order(docs: DataFrame, join: Join) -> Order:
 
 
 def _heads(docs: DataFrame, join: Join, order: Order) -> DataFrame:
-    """Postings (gram, lane, d1, n, rare) of the heads; a task posts a set once. Very frequent n-grams are posted in lanes."""
+    """Postings (gram, lane, d1, n, rare) of the heads; a task posts a set once. Frequent n-grams are posted in lanes, more of them the
+    more frequent they are."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +218,8 @@ def _heads(docs: DataFrame, join: Join, order: Order) -> DataFrame:
                     weight = shared.value.weight(g)
                     head = np.lexsort((g, weight))[: head_length(len(g), join.percent)]
                     grams.append(g[head])
-                    lane.append(np.where(weight[head] >= 10, (own & 0xFFFF) % join.lanes, -1).astype(np.int32))
+                    spread = np.clip(weight[head].astype(np.int64) - join.lane, 0, 30)  # lanes follow the count, so none grows with it
+                    lane.append(np.where(spread > 0, own & ((1 << spread) - 1), -1).astype(np.int32))
                     d1.append(np.full(len(head), own, np.int64))
                     n.append(np.full(len(head), len(g), np.int32))
                     rare.append(np.full(len(head), int((weight == 0).sum()), np.int32))
@@ -285,8 +290,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join,
     segments = written(_segments(docs.join(active.withColumnRenamed("x", "doc_id"), "doc_id", "left_semi"), join, order), "segments")
     left = segments.select(F.col("doc_id").alias("x"), F.col("d1").alias("a"), "fragment", F.col("segment").alias("left"))
     right = segments.select(F.col("doc_id").alias("y"), F.col("d1").alias("b"), "fragment", F.col("segment").alias("right"))
-    parts = _partial_overlaps(named.join(left, ["x", "a"]).join(right, ["y", "b", "fragment"]).select("x", "y", "a", "b", "nx", "ny", "left", "right"))
-    summed = parts.groupBy("x", "a", "y", "b", "nx", "ny").agg(F.sum("part").alias("common"))
+    parts = _partial_overlaps(named.join(left, ["x", "a"]).join(right, ["y", "b", "fragment"]).select("x", "y", "a", "b", "nx", "ny", "fragment", "left", "right"))
+    # a row that occurs twice gives the same part twice, which counts once
+    once = F.collect_set(F.struct("fragment", "part"))
+    summed = parts.groupBy("x", "a", "y", "b", "nx", "ny").agg(F.aggregate(once, F.lit(0).cast("long"), lambda acc, p: acc + p["part"]).alias("common"))
     return summed.where(100 * F.col("common") >= join.percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y").distinct()
 
 
@@ -369,13 +376,16 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     # postings across components, and their pairs
     nodes = classes.where("rep is not null").join(found, classes["rep"] == found["node"], "left").select("d1", F.coalesce("component", "rep").alias("component"))
     placed = written(posted.drop("rare").join(nodes, "d1"), "placed")
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low <> high").select("gram", "k")
+    shares = placed.groupBy("gram", "component").agg(F.count("*").alias("own"))
+    mixed = shares.groupBy("gram").agg(F.count("*").alias("parts"), F.sum("own").alias("k"), F.max_by("component", F.struct("own", "component")).alias("main")).where("parts > 1").select("gram", "k", "main")
     # of a set's n-grams there, short postings first, all but the last `needed` - 1 find every partner that shares so many
     own = "partition by d1"
     ranked = written(placed.join(mixed, "gram").withColumns({"at": F.expr(f"row_number() over ({own} order by k, gram)"), "of": F.expr(f"count(*) over ({own})")}).drop("k"), "ranked")
     other = ranked.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("at").alias("far_at"), F.col("of").alias("far_of"))
     short = (F.col("at") <= F.col("of") - _needed(join) + 1) & (F.col("far_at") <= F.col("far_of") - _needed(join) + 1)
-    rest = ranked.join(other, "gram").where("d1 < e and component <> far").where(_lengths_fit(join) & short).select(F.col("d1").alias("a"), F.col("e").alias("b")).distinct()
+    # one side stands outside the component that has most of a posting: the pairs inside that one are never listed
+    rest = ranked.where("component <> main").join(other, "gram").where((F.col("component") != F.col("far")) & ((F.col("far") == F.col("main")) | (F.col("d1") < F.col("e")))).where(_lengths_fit(join) & short)
+    rest = rest.select(F.least("d1", "e").alias("a"), F.greatest("d1", "e").alias("b")).distinct()
     rest = written(rest.join(ordered, ["a", "b"], "left_anti"), "across")
     if rest.limit(1).count():
         links = written(links.union(_verified(rest, docs, classes, join, order)).distinct(), "links")

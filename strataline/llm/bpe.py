@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, strings
+from .common import KEPT, slices, strings
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -386,19 +386,17 @@ class Codec:
         self.encoder, self.decoder = Encoder(ranks, pattern), Decoder(ranks)
 
 
-_TABLES: dict = {}
-
-
 def _kept(kind: type, ranks: bytes, *more: str):
     """A worker's encoder or decoder, kept for its next task with what its tables have learnt.
 
-    One at a time is kept; its tables have fixed bounds (some 100 MB in all, most of it states and pieces).
+    One at a time is kept, until the worker turns to another operator; its tables have fixed bounds (some 150 MB in all, most of it
+    states, neighbours and pieces).
     """
     key = (kind, hash(ranks), len(ranks), *more)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = kind(parse_ranks(ranks), *more)
-    return _TABLES[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = kind(parse_ranks(ranks), *more)
+    return KEPT[key]
 
 
 def _lists(rows: list[list[int]]) -> pa.ListArray:
@@ -431,7 +429,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "t
         codec = _kept(Codec, shared.value, pattern)
         gc.disable()  # the tables are large and rarely hold cycles; a full table collects
         try:
-            for batch in (part for whole in batches for part in slices(whole, 256)):
+            for batch in (part for whole in batches for part in slices(whole, 256, keep=True)):
                 lists = _lists([codec.encoder.encode(x) for x in strings(batch.column(text))])
                 more = _decoded_columns(codec.decoder, _streams(lists)) if out else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), lists, *more], names=[f.name for f in schema.fields])
@@ -450,7 +448,7 @@ def decode_documents(encoded: DataFrame, ranks: bytes, ids: str = "token_ids", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _kept(Decoder, shared.value)
-        for batch in (part for whole in batches for part in slices(whole, 256)):
+        for batch in (part for whole in batches for part in slices(whole, 256, keep=True)):
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *_decoded_columns(decoder, _streams(batch.column(ids)))], names=[f.name for f in schema.fields])
 
     return encoded.mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import uuid
@@ -107,8 +108,21 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, salts: int = 16,
     return rows.withColumn("_lane", lane).join(lanes, [key, "_lane"], "left").drop("_lane")
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that Python objects of few rows are held at once."""
+#: Tables that a worker keeps between the tasks of one operator.
+KEPT: dict = {}
+
+
+def let_go() -> None:
+    """Free what another operator's tasks left in this worker."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that Python objects of few rows are held at once; without keep, KEPT is let go."""
+    if not keep:
+        let_go()
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_lookup, utf8, written
+from .common import let_go, salted_lookup, utf8, written
 
 _U = np.uint64
 _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -132,6 +132,7 @@ def head_length(n: int, percent: int) -> int:
 
 def _parts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of some 2 MB of text, at least a row each."""
+    let_go()
     sizes = np.array([len(x) for x in utf8(batch.column("text"))])
     group = np.cumsum(sizes) // most if len(sizes) else sizes
     edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(sizes) else []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEPT, slices, strings
+from .common import KEPT, settled, slices, strings
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -53,7 +53,7 @@ _MET = ((), ())
 class Transducer:
     """Encodes one piece of text (a match of the split pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 300_000, renew: int = 4_000_000, short: int = 48):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_pairs: int = 200_000, renew: int = 4_000_000, short: int = 48):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.below: list[dict[int, int]] = [{}]
@@ -238,7 +238,7 @@ class Encoder:
     When the newer table is full it becomes the older one; what is met there again moves up.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 40_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.max_pieces = max_pieces
@@ -389,7 +389,7 @@ class Codec:
 def _kept(kind: type, ranks: bytes, *more: str):
     """A worker's encoder or decoder, kept for its next task with what its tables have learnt.
 
-    One at a time is kept, until the worker turns to another operator; its tables have fixed bounds (some 150 MB in all, most of it
+    One at a time is kept, until the worker turns to another operator; its tables have fixed bounds (some 100 MB in all, most of it
     states, neighbours and pieces).
     """
     key = (kind, hash(ranks), len(ranks), *more)
@@ -425,6 +425,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, text: str = "t
     kept = [f for f in docs.schema.fields if f.name not in {f.name for f in made} and (keep_text or f.name != text)]
     schema = T.StructType([*kept, *made])
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _kept(Codec, shared.value, pattern)
         gc.disable()  # the tables are large and rarely hold cycles; a full table collects
@@ -446,6 +447,7 @@ def decode_documents(encoded: DataFrame, ranks: bytes, ids: str = "token_ids", o
     kept = [f for f in encoded.schema.fields if f.name not in (ids, out, "well_formed")]
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType(), False), T.StructField("well_formed", T.BooleanType(), False)])
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _kept(Decoder, shared.value)
         for batch in (part for whole in batches for part in slices(whole, 256, keep=True)):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of rows handed to a Python worker at once. Spark's own 64 MB would stand several times in an executor: in the JVM's
 #: buffers of each running task and, as Arrow and as Python objects, in its workers.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -119,6 +121,20 @@ def let_go() -> None:
         gc.collect()
 
 
+def settled(run: Callable) -> Callable:
+    """run of a task, after which the worker gives memory that it no longer holds objects in back to the system."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that Python objects of few rows are held at once; without keep, KEPT is let go."""
     if not keep:

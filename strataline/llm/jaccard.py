@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, salted_lookup, utf8, written
+from .common import let_go, salted_lookup, settled, utf8, written
 
 _U = np.uint64
 _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -130,8 +130,8 @@ def head_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _parts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of some 2 MB of text, at least a row each."""
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some 1 MB of text, at least a row each."""
     let_go()
     sizes = np.array([len(x) for x in utf8(batch.column("text"))])
     group = np.cumsum(sizes) // most if len(sizes) else sizes
@@ -143,6 +143,7 @@ def _parts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatc
 def _sets(docs: DataFrame, join: Join) -> DataFrame:
     """doc_id, n, d1, d2 of every row."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
@@ -156,6 +157,7 @@ def _sets(docs: DataFrame, join: Join) -> DataFrame:
 def _repeated_locally(docs: DataFrame, join: Join, most: int = 2_000_000) -> DataFrame:
     """(gram, count) for what a task sees in two different sets of its own; candidates for frequent n-grams."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -206,6 +208,7 @@ def _heads(docs: DataFrame, join: Join, order: Order) -> DataFrame:
     more frequent they are."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -245,6 +248,7 @@ def _segments(docs: DataFrame, join: Join, order: Order) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = _U(((1 << 64) - 1) // join.fragments)
         for batch in batches:
@@ -270,6 +274,7 @@ def _partial_overlaps(pairs: DataFrame) -> DataFrame:
     kept = [f for f in pairs.schema.fields if f.name not in ("left", "right")]
     names = [f.name for f in kept]
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

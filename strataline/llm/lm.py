@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import settled, slices, utf8, written
 
 #: The token that ends a text; no word holds a blank.
 END = b" "
@@ -93,6 +93,7 @@ def laned(docs: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
 def blocks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Coded blocks of documents (doc_id, text), each task's in the order of its rows."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[bytes] = []
@@ -129,6 +130,7 @@ _PACKED = "bucket long, member long, words binary, counts binary"
 def packed(coded: DataFrame, buckets: int) -> DataFrame:
     """(bucket, member: the block, words joined by line ends, counts) of all blocks."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -197,6 +199,7 @@ def totals(rows: DataFrame, settings: Settings, n_members: int) -> DataFrame:
 def frequent(found: DataFrame, settings: Settings) -> tuple[list[tuple[bytes, int]], int, int]:
     """The words with vectors and their counts (settings.vocabulary rows at most), distinct training words, and training tokens."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -367,6 +370,7 @@ def trained(coded: DataFrame, model: Model, top: list[tuple[bytes, int]], traini
     def row(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in held)], names=names)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, known = shared.value
         held: list[np.ndarray] | None = None
@@ -416,6 +420,7 @@ def scores(known: DataFrame, model: Model, top: list[tuple[bytes, int]], buckets
     rest = tokens - sum(c for _, c in top) + words - len(top) + 1  # add-one within the class of words without a vector
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, places = shared.value
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import settled, slices, utf8
 
 WIDTH = 64
 
@@ -159,6 +159,7 @@ def text_images(docs: DataFrame, text: str = "text", image: str = "image") -> Da
     kept = [f for f in docs.schema.fields if f.name not in (text, image, "n_bytes")]
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType(), False), T.StructField(image, T.BinaryType(), False)])
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -195,6 +196,7 @@ def image_features(images: DataFrame, image: str = "image", side: int = 32) -> D
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in FEATURES)])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):

@@ -62,6 +62,7 @@ def converted(pages: DataFrame) -> DataFrame:
     """WARC records (gzip members) of pages: some megabytes of them become an ARC file of one version or the other in turn, which the
     converter reads: its version block gives a warcinfo record, each page a response or a revisit."""
 
+    @common.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, rows in enumerate(_legacy(batches)):
             legacy = warc.read_arc(warc.write_arc([page_record(i, u, p) for i, u, p, _, _ in rows], 1 + n % 2))
@@ -81,6 +82,7 @@ def converted(pages: DataFrame) -> DataFrame:
 def page_rows(archives: DataFrame) -> DataFrame:
     """A row per page record read back; a response's digest and length are taken from its bytes, a revisit's from its headers."""
 
+    @common.settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

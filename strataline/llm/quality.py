@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, slices, utf8
+from .common import packed, settled, slices, utf8
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_upper", "n_letters", "n_digits", "n_stop"]
 
@@ -76,6 +76,7 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     kept = [f for f in docs.schema.fields if (f.name in keep if keep is not None else True) and f.name not in MEASURES]
     schema = T.StructType([*kept, *(T.StructField(m, T.LongType(), False) for m in MEASURES)])
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             table = np.array([measure(x) for x in utf8(batch.column(text))], np.int64).reshape(-1, len(MEASURES))

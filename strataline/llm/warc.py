@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import settled, slices
 
 #: Fields of a record's header line, by ARC version. Fixed values of the format.
 ARC_FIELDS = {
@@ -208,6 +208,7 @@ def write_archives(records: DataFrame, path: str) -> None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """What write_archives wrote, a row a record: record_type, headers (map) and block, by declared lengths; files are split freely."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 256)):
             held = [r for raw in batch.column("value").to_pylist() for r in read_warc(_gunzip(raw))]
@@ -221,6 +222,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """WARC files of any origin, plain or gzipped, as rows like read_archives'; each file is one task's."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content"):

@@ -37,13 +37,28 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
+def _trie(ranks: dict[bytes, int]) -> dict[int, tuple[int, int, bool]]:
+    """All tokens by byte: node | byte -> (node, token that ends there or -1, whether tokens go on). Nodes are multiples of 256, the
+    root is 0."""
+    numbers: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    inner = set()
+    for token, rank in ranks.items():
+        node = 0
+        for byte in token:
+            inner.add(node)
+            node = numbers.setdefault(node | byte, (len(numbers) + 1) << 8)
+        ends[node] = rank
+    return {step: (node, ends.get(node, -1), node in inner) for step, node in numbers.items()}
+
+
 class _State:
     """The runs still possible, the longest-read first: (tokens not yet emitted, trie node of the next token so far)."""
 
     __slots__ = ("last", "runs", "steps")
 
     def __init__(self, last: int, runs: tuple[tuple[tuple[int, ...], int], ...]):
-        self.last, self.runs, self.steps = last, runs, None
+        self.last, self.runs, self.steps = last, runs, {}
 
 
 #: Stands for a step met once and not yet built.
@@ -53,21 +68,10 @@ _MET = ((), ())
 class Transducer:
     """Encodes one piece of text (a match of the split pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_pairs: int = 200_000, renew: int = 4_000_000, short: int = 48):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_pairs: int = 400_000, renew: int = 4_000_000, short: int = 48):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.below: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                then = self.below[node].get(byte)
-                if then is None:
-                    then = self.below[node][byte] = len(self.below)
-                    self.below.append({})
-                    self.token_at.append(-1)
-                node = then
-            self.token_at[node] = rank
+        self.trie = _trie(ranks)
         self.max_states, self.max_pairs, self.renew, self.short = max_states, max_pairs, renew, short
         self._pairs: dict[int, bool] = {}
         self._split: dict = {}
@@ -137,19 +141,19 @@ class Transducer:
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """Build the step from a state for one byte."""
-        below, token_at, pairs = self.below, self.token_at, self._pairs
+        trie, pairs = self.trie, self._pairs
         runs, ended, last = [], None, state.last
         for pending, node in state.runs:
-            node = below[node].get(byte)
-            if node is None:
+            hit = trie.get(node | byte)
+            if hit is None:
                 continue
-            token = token_at[node]
+            node, token, open_ = hit
             if token >= 0 and ended is None:
                 u = pending[-1] if pending else last
                 fits = pairs.get(u << 32 | token)
                 if self._may_follow(u, token) if fits is None else fits:
                     ended = (*pending, token)
-            if below[node]:
+            if open_:
                 runs.append((pending, node))
         if ended is not None:
             runs.append((ended, 0))
@@ -177,22 +181,20 @@ class Transducer:
 
     def _run_on(self, state: _State, rest: bytes) -> tuple[int, ...]:
         """The tokens from a state to the end of a short rest, without building states."""
-        below, token_at, fitting = self.below, self.token_at, self._pairs.get
-        runs = [(pending, pending[-1] if pending else state.last, node) for pending, node in state.runs]
+        step, fitting = self.trie.get, self._pairs.get
+        runs = [(pending, (pending[-1] if pending else state.last) << 32, node) for pending, node in state.runs]
         for byte in rest:
             then, ended = [], None
             for pending, u, node in runs:
-                node = below[node].get(byte)
-                if node is None:
-                    continue
-                if ended is None:
-                    token = token_at[node]
-                    if token >= 0:
-                        fits = fitting(u << 32 | token)
-                        if self._may_follow(u, token) if fits is None else fits:
-                            ended = ((*pending, token), token, 0)
-                if below[node]:
-                    then.append((pending, u, node))
+                hit = step(node | byte)
+                if hit is not None:
+                    node, token, open_ = hit
+                    if token >= 0 and ended is None:
+                        fits = fitting(u | token)
+                        if self._may_follow(u >> 32, token) if fits is None else fits:
+                            ended = ((*pending, token), token << 32, 0)
+                    if open_:
+                        then.append((pending, u, node))
             if ended is not None:
                 then.append(ended)
             runs = then
@@ -204,28 +206,23 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out, short = self._start, [], len(piece) <= self.short
-        for k, byte in enumerate(piece):
-            steps = state.steps
-            step = None if steps is None else steps.get(byte)
+        state, out, short, k = self._start, [], len(piece) <= self.short, 0
+        for byte in piece:
+            step = state.steps.get(byte)
             if step is None or step is _MET:
                 if short and (step is None or self.full):  # a step is built when it is met again: most are not
                     if not self.full:
-                        if steps is None:
-                            state.steps = {byte: _MET}
-                        else:
-                            steps[byte] = _MET
+                        state.steps[byte] = _MET
                     else:
                         self._missed += 1
                         if self._missed >= self.renew:
                             self._reset()
                     return (*out, *self._run_on(state, piece[k:]))
-                if steps is None:
-                    state.steps = {}
                 step = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            state, emitted = step
+            if emitted:
+                out += emitted
+            k += 1
         tail, node = state.runs[-1]
         if node and piece:
             raise ValueError("a byte of the text is in no token")
@@ -238,7 +235,7 @@ class Encoder:
     When the newer table is full it becomes the older one; what is met there again moves up.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 40_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 100_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.max_pieces = max_pieces
@@ -389,7 +386,7 @@ class Codec:
 def _kept(kind: type, ranks: bytes, *more: str):
     """A worker's encoder or decoder, kept for its next task with what its tables have learnt.
 
-    One at a time is kept, until the worker turns to another operator; its tables have fixed bounds (some 100 MB in all, most of it
+    One at a time is kept, until the worker turns to another operator; its tables have fixed bounds (some 200 MB in all, most of it
     states, neighbours and pieces).
     """
     key = (kind, hash(ranks), len(ranks), *more)

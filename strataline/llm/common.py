@@ -65,9 +65,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: lineage is cut there, and a lost executor costs no more than its own tasks."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    """df as a table in the shared folder: lineage is cut there, and a lost executor costs no more than its own tasks.
+
+    The shuffle files behind it go as soon as it is written, not when the driver happens to collect its garbage.
+    """
+    path, conf, name = scratch_path(df.sparkSession, label), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, salted_lookup, settled, utf8, written
+from .common import discard, let_go, salted_lookup, settled, utf8, written
 
 _U = np.uint64
 _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -300,7 +300,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, join: Join,
     # a row that occurs twice gives the same part twice, which counts once
     once = F.collect_set(F.struct("fragment", "part"))
     summed = parts.groupBy("x", "a", "y", "b", "nx", "ny").agg(F.aggregate(once, F.lit(0).cast("long"), lambda acc, p: acc + p["part"]).alias("common"))
-    return summed.where(100 * F.col("common") >= join.percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y").distinct()
+    links = written(summed.where(100 * F.col("common") >= join.percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y").distinct(), "links")
+    discard(named, segments)
+    return links
 
 
 def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -315,14 +317,17 @@ def components(links: DataFrame) -> DataFrame:
     both = links.union(links.select("y", "x")).where("x <> y").toDF("node", "other").distinct()
     both = written(both, "edges")
     labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
+    held = labels
     while True:
         near = salted_lookup(both, labels.withColumnRenamed("node", "other"), "other", 4, F.col("node")).groupBy("node").agg(F.min("component").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("component", "near").alias("label"), "component")
         above = labels.select(F.col("node").alias("label"), F.col("component").alias("above"))
         then = written(salted_lookup(spread, above, "label", 4, F.col("node")).select("node", F.least("label", F.coalesce("above", "label")).alias("component"), F.col("component").alias("before")), "labels")
         done = then.where("component <> before").limit(1).count() == 0
-        labels = then.drop("before")
+        discard(held)
+        labels, held = then.drop("before"), then
         if done:
+            discard(both)
             return labels
 
 
@@ -356,7 +361,9 @@ def _postings(docs: DataFrame, join: Join, order: Order) -> DataFrame:
     first = [F.expr(f"first({c}) over ({same})").alias(f"first_{c}") for c in ("d1", "n", "rare")]
     met = _heads(docs, join, order).select("gram", "lane", "d1", "n", "rare", *first).where("d1 <> first_d1 or lane >= 0")
     met = written(met.select("gram", "d1", "n", "rare", "first_d1", "first_n", "first_rare").distinct(), "met")
-    return written(met.select("gram", "d1", "n", "rare").union(met.select("gram", "first_d1", "first_n", "first_rare")).distinct(), "postings")
+    out = written(met.select("gram", "d1", "n", "rare").union(met.select("gram", "first_d1", "first_n", "first_rare")).distinct(), "postings")
+    discard(met)
+    return out
 
 
 def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
@@ -377,22 +384,26 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     nearest = met.groupBy("d1").agg(F.max_by("centre", F.struct("met", "centre")).alias("one"), F.min_by("centre", F.struct(F.col("rarest"), -F.col("met"), F.col("centre"))).alias("two"))
     pairs = nearest.select("d1", F.explode(F.array_distinct(F.array("one", "two"))).alias("centre"))
     ordered = written(pairs.select(F.least("d1", "centre").alias("a"), F.greatest("d1", "centre").alias("b")).distinct(), "stars")
-    links = written(_verified(ordered, docs, classes, join, order), "links")
+    discard(likely)
+    links = _verified(ordered, docs, classes, join, order)
     found = components(links)
     # postings across components, and their pairs
     nodes = classes.where("rep is not null").join(found, classes["rep"] == found["node"], "left").select("d1", F.coalesce("component", "rep").alias("component"))
     placed = written(posted.drop("rare").join(nodes, "d1"), "placed")
+    discard(posted)
     shares = placed.groupBy("gram", "component").agg(F.count("*").alias("own"))
     mixed = shares.groupBy("gram").agg(F.count("*").alias("parts"), F.sum("own").alias("k"), F.max_by("component", F.struct("own", "component")).alias("main")).where("parts > 1").select("gram", "k", "main")
     # of a set's n-grams there, short postings first, all but the last `needed` - 1 find every partner that shares so many
     own = "partition by d1"
     ranked = written(placed.join(mixed, "gram").withColumns({"at": F.expr(f"row_number() over ({own} order by k, gram)"), "of": F.expr(f"count(*) over ({own})")}).drop("k"), "ranked")
+    discard(placed)
     other = ranked.select("gram", F.col("d1").alias("e"), F.col("n").alias("m"), F.col("component").alias("far"), F.col("at").alias("far_at"), F.col("of").alias("far_of"))
     short = (F.col("at") <= F.col("of") - _needed(join) + 1) & (F.col("far_at") <= F.col("far_of") - _needed(join) + 1)
     # one side stands outside the component that has most of a posting: the pairs inside that one are never listed
     rest = ranked.where("component <> main").join(other, "gram").where((F.col("component") != F.col("far")) & ((F.col("far") == F.col("main")) | (F.col("d1") < F.col("e")))).where(_lengths_fit(join) & short)
     rest = rest.select(F.least("d1", "e").alias("a"), F.greatest("d1", "e").alias("b")).distinct()
     rest = written(rest.join(ordered, ["a", "b"], "left_anti"), "across")
+    discard(ranked)
     if rest.limit(1).count():
         links = written(links.union(_verified(rest, docs, classes, join, order)).distinct(), "links")
         found = components(links)

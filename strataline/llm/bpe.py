@@ -68,7 +68,7 @@ _MET = ((), ())
 class Transducer:
     """Encodes one piece of text (a match of the split pattern) at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000, max_pairs: int = 400_000, renew: int = 4_000_000, short: int = 48):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 110_000, max_pairs: int = 400_000, renew: int = 4_000_000, short: int = 48):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.trie = _trie(ranks)
@@ -235,7 +235,7 @@ class Encoder:
     When the newer table is full it becomes the older one; what is met there again moves up.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = 150_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.max_pieces = max_pieces

@@ -18,8 +18,8 @@ frequent, ties by hash; it is cut into fragments, and a set is cut with it.
 
 N-grams count as frequent by what tasks repeat locally; the order is exact for any such estimate, which only
 decides how short postings are. Hashes of different n-grams of one pair collide with a probability below 1e-12. Classes are told apart
-by 128 bits; between steps 64 of them name a class, which two of 10^8 different sets share with a probability of 3e-4, and some three
-pairs of 10^10 sets.
+by 128 bits; between steps 64 of them name a class. Classes that share a name, some three pairs of 10^10, are found and named anew, so none
+hides another.
 
 Cases: null and empty texts have the empty set and link with nothing; a text with fewer words than n has its
 whole sequence as one n-gram; a null doc_id takes part in no link and has no component; rows that repeat a
@@ -46,13 +46,14 @@ _BASE, _UNBASE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 @dataclass(frozen=True)
 class Join:
     """n: words of an n-gram; percent: similarity asked for; fragments: parts of the order's rare end; frequent: most n-grams known as
-    frequent; lane: logarithm of how many sets of a frequent n-gram are posted together."""
+    frequent; lane: logarithm of how many sets of a frequent n-gram are posted together; bits: of the digest that name a class."""
 
     n: int = 5
     percent: int = 80
     fragments: int = 4
     frequent: int = 500_000
     lane: int = 9
+    bits: int = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,18 +107,25 @@ def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def digest(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers; the first is never repeated by the second's seed."""
+def digest(grams: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers; of the first, its name, only `bits`."""
     at = np.arange(1, len(grams) + 1, dtype=np.uint64)
     pair = [_mix((_mix(grams + _U(seed)) * (at * _U(2) + _U(1))).sum(keepdims=True) + _U(len(grams)))[0] for seed in (0x243F6A8885A308D3, 0x13198A2E03707344)]
-    return int(pair[0].astype(np.int64)), int(pair[1].astype(np.int64))
+    return int((pair[0] >> _U(64 - bits)).astype(np.int64)), int(pair[1].astype(np.int64))
 
 
 class Order:
-    """The global order: n-grams not known as frequent by hash, then frequent ones by the logarithm of their count."""
+    """The global order: n-grams not known as frequent by hash, then frequent ones by the logarithm of their count.
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
-        self.hashes, self.weights = hashes, weights
+    It also names sets: by the first part of their digest, or anew where `renamed` (digest to name) has them.
+    """
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bits: int = 64, renamed: dict[tuple[int, int], int] | None = None):
+        self.hashes, self.weights, self.bits, self.renamed = hashes, weights, bits, renamed or {}
+
+    def name(self, grams: np.ndarray) -> int:
+        both = digest(grams, self.bits)
+        return self.renamed.get(both, both[0])
 
     def weight(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -148,7 +156,7 @@ def _sets(docs: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             for part in _parts(batch):
                 grams = shingles(utf8(part.column("text")), join.n)
-                pairs = np.array([digest(g) for g in grams], np.int64).reshape(-1, 2)
+                pairs = np.array([digest(g, join.bits) for g in grams], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(g) for g in grams], pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["doc_id", "n", "d1", "d2"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
@@ -186,7 +194,22 @@ def _repeated_locally(docs: DataFrame, join: Join, most: int = 2_000_000) -> Dat
     return docs.select("text").mapInArrow(run, "gram long, count long")
 
 
-def _order(docs: DataFrame, join: Join) -> Order:
+def _renamed(classes: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of the classes (d1, d2) whose d1 others have too: of N classes N ** 2 / 2 ** 64, which come to the driver."""
+    shared = [r.d1 for r in classes.groupBy("d1").agg(F.min("d2").alias("low"), F.max("d2").alias("high")).where("low <> high").select("d1").collect()]
+    met = classes.where(F.col("d1").isin(shared)).select("d1", "d2").collect() if shared else []
+    return {(r.d1, r.d2): int(_mix(np.array([r.d1 ^ r.d2], np.int64).view(np.uint64)).view(np.int64)[0]) for r in met}
+
+
+def _with_names(frame: DataFrame, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """frame (d1, d2, ...) with d1 as the name of its class."""
+    if not renamed:
+        return frame
+    fresh = F.create_map(*(x for (a, b), name in renamed.items() for x in (F.struct(F.lit(a).cast("long").alias("d1"), F.lit(b).cast("long").alias("d2")), F.lit(name).cast("long"))))
+    return frame.withColumn("d1", F.coalesce(fresh[F.struct("d1", "d2")], "d1"))
+
+
+def _order(docs: DataFrame, join: Join, renamed: dict[tuple[int, int], int]) -> Order:
     """The order from the most frequent n-grams, join.frequent at most (9 bytes each; broadcast).
 
     They are those above a power of two of the count, chosen from the number of n-grams by power.
@@ -200,7 +223,7 @@ def _order(docs: DataFrame, join: Join) -> Order:
     top = counted.where(F.col("weight") >= least).toPandas()
     hashes = top["gram"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
-    return Order(hashes[by], top["weight"].to_numpy(np.int64).astype(np.uint8)[by])
+    return Order(hashes[by], top["weight"].to_numpy(np.int64).astype(np.uint8)[by], join.bits, renamed)
 
 
 def _heads(docs: DataFrame, join: Join, order: Order) -> DataFrame:
@@ -215,7 +238,7 @@ def _heads(docs: DataFrame, join: Join, order: Order) -> DataFrame:
             for part in _parts(batch):
                 grams, d1, n, rare, lane = [], [], [], [], []
                 for g in shingles(utf8(part.column("text")), join.n):
-                    own = digest(g)[0]
+                    own = shared.value.name(g)
                     if own in seen or not len(g):
                         continue
                     seen.add(own)
@@ -255,7 +278,7 @@ def _segments(docs: DataFrame, join: Join, order: Order) -> DataFrame:
             for part in _parts(batch):
                 ids, d1, fragment, segment = [], [], [], []
                 for doc, g in zip(part.column("doc_id").to_pylist(), shingles(utf8(part.column("text")), join.n), strict=True):
-                    own = digest(g)[0]
+                    own = shared.value.name(g)
                     weight = shared.value.weight(g)
                     band = np.searchsorted(BANDS, weight, side="right")
                     own_fragment = np.where(band == 0, np.minimum(g // wide, _U(join.fragments - 1)).astype(np.int64), join.fragments - 1 + band)
@@ -371,7 +394,9 @@ def joined(docs: DataFrame, join: Join = Join()) -> tuple[DataFrame, DataFrame,
     representative (smallest doc_id) and component; links between representatives that span all components."""
     rows = written(_sets(docs, join), "sets")
     classes = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-    order = _order(docs, join)
+    renamed = _renamed(classes)
+    rows, classes = _with_names(rows, renamed), _with_names(classes, renamed)
+    order = _order(docs, join, renamed)
     posted = _postings(docs, join, order)
     # a document goes with the centre that it meets most often, and with that of fewest rare n-grams, a group's origin
     sets = posted.groupBy("d1", "n").agg(F.count("*").alias("seen")).select("d1", _reach(join).alias("reach"), "n")

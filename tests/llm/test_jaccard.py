@@ -93,6 +93,7 @@ def test_groups_of_copies_chains_and_shared_passages(spark):
     check(spark, docs)
     check(spark, docs, frequent=0)
     check(spark, docs, lane=1, fragments=1)
+    check(spark, docs, bits=3)  # names that many classes share
 
 
 def test_pairs_of_unequal_size_near_the_threshold(spark):

@@ -118,6 +118,18 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, salts: int = 16,
     return rows.withColumn("_lane", lane).join(lanes, [key, "_lane"], "left").drop("_lane")
 
 
+def rested(spark: SparkSession) -> SparkSession:
+    """The session, ready, after every executor has collected its garbage.
+
+    A heap that one stage has filled stays in the executor's memory until a full collection, which gives most of it back to the system;
+    in a chain of stages that is memory which the next one's Python workers need. As many tasks as there are slots, each a collection:
+    while nothing else runs, every executor gets its share of them. Where the JVM ignores such calls, nothing happens.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    ready(spark).range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+    return spark
+
+
 #: Tables that a worker keeps between the tasks of one operator.
 KEPT: dict = {}
 

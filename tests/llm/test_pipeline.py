@@ -131,3 +131,17 @@ def test_stages_take_nothing(spark, odd):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, SF)
         assert out.collect() == [] and (k == 4 or out.columns == NAMES)
+
+
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_stages_begin_with_a_collection(spark):
+    """The heap that a stage has filled is given back before the next one's Python workers need the memory."""
+    docs = spark.createDataFrame([(1, "a few words", "a")], "doc_id long, text string, source string")
+    for _, stage in corpus_pipeline.STAGES:
+        before = full_collections(spark)
+        stage(spark, docs, SF)
+        assert full_collections(spark) > before

@@ -48,7 +48,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, of the patterns or the network, replaced by a mark; n_chars follows the text. Rows stay, each by itself."""
     common.rested(spark)
     found = common.written(secrets.findings(docs, ["doc_id"]), "findings")
-    clean = secrets.redacted(docs, secrets.trained(secrets.sample(found)))
+    clean = secrets.redacted(docs, secrets.fitted(found))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 

@@ -133,6 +133,15 @@ def test_stages_take_nothing(spark, odd):
         assert out.collect() == [] and (k == 4 or out.columns == NAMES)
 
 
+def test_secrets_are_learnt_from_every_finding(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(corpus_pipeline.secrets, "sample", none)
+    docs = spark.createDataFrame([(1, "token = abcdef1 and on", "a"), (2, None, "b")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.secret_scan(spark, docs, SF).collect()) == [(1, "[secret] and on"), (2, None)]
+
+
 def full_collections(spark):
     beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
     return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
